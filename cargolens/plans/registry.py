@@ -1,15 +1,145 @@
-"""All queries of the engine by name, and their oracle SQL."""
+"""All queries of the engine by name, over shipments made from the star schema, and their oracle SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cargolens.operators import adhoc, datasets, detect, evaluate, generate, quality, views
+from cargolens.plans import oracle
+from cargolens.sources import adapter, sinks
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+SUMS = ("total_spend", "total_freight_spend")
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles to six places, great sums to two: sums in another order differ in the last bits."""
+    return df.select(*[F.round(F.col(c), 2 if c in SUMS else places).alias(c) if t == "double" else F.col(c).cast("bigint").alias(c) if t in ("int", "decimal(20,0)") else F.col(c) for c, t in df.dtypes])
+
+
+def _ships(f: Callable[[DataFrame], DataFrame], lane: str = adapter.LANE) -> Query:
+    return lambda spark, sf_dir: rounded(f(adapter.shipments(spark, sf_dir, lane).persist()))
+
+
+def _off_ties(df: DataFrame, column: str) -> DataFrame:
+    """Moves a quotient off the ties of rounding, which engines resolve differently."""
+    return df.withColumn(column, F.col(column) + 3e-8)
+
+
+def _flagged(f: Callable[[DataFrame, DataFrame], DataFrame], lane: str = adapter.LANE) -> Query:
+    """Shipments are used by detectors and view alike, so they are made once and kept, spilling to disk."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ships = adapter.shipments(spark, sf_dir, lane).persist()
+        return rounded(f(ships, detect.anomaly_flags(ships)))
+
+    return run
+
+
+def _labelled(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return _ships(lambda s: f(views.labelled(s, adapter.truth(s))))
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ships = adapter.shipments(spark, sf_dir).persist()
+    tables = {"SHIPMENTS": ships, "FUEL_SURCHARGES": adapter.fuel(spark), "CARRIER_RATES": adapter.rates(ships), "LANE_WEEK_TRENDS": detect.lane_week_trends(ships), "ANOMALY_FLAGS": detect.anomaly_flags(ships)}
+    return quality.row_counts(tables, {"SHIPMENTS": 75_000, "FUEL_SURCHARGES": 100, "CARRIER_RATES": 1_000})
+
+
+def _exported_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ships = adapter.shipments(spark, sf_dir).persist()
+    flags = detect.anomaly_flags(ships)
+    upper = flags.select(F.col("flag_type").alias("FLAG_TYPE"), F.col("shipment_id").alias("SHIPMENT_ID"))
+    return rounded(evaluate.metrics_from_export(upper.toDF(*[c.lower() for c in upper.columns]), adapter.truth(ships)))
+
+
+def _raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones and modes of flows out of orders, for the parser of raw flows."""
+    o = adapter.table(spark, sf_dir, "orders")
+    return o.select((F.col("o_orderkey") % 560).cast("string").alias("dms_orig"), (F.col("o_custkey") % 560).cast("string").alias("dms_dest"), (F.col("o_orderkey") % 8).cast("string").alias("dms_mode"))
+
+
+def _generated(spark: SparkSession, _: str) -> DataFrame:
+    made = generate.shipments(generate.carrier_rates(spark), generate.fuel_surcharges(spark), 10_000)
+    return made[0].join(made[1].select("shipment_id", "is_anomaly"), "shipment_id")
+
+
+def _provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = adapter.shipments(spark, sf_dir).agg(F.count("*").alias("n"), F.sum("is_anomaly").alias("a")).first()
+    row = {"run_id": "run-1", "generated_at": "2024-01-01T00:00:00", "seed_source": "TEST", "n_shipments": n.n, "n_anomalies": n.a, "anomaly_rate": round(n.a / n.n, 4)}
+    return rounded(sinks.generation_run(spark, row)).drop("generated_at")
+
+
+def _week_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.anomalous_weeks(datasets.lane_week_trends(adapter.shipments(spark, sf_dir)))
+
+
+def queries() -> dict[str, Query]:
+    nation = adapter.NATION_LANE
+    fuel_costs = lambda spark, sf_dir: rounded(adhoc.fuel_vs_cost(adapter.fuel(spark), adapter.shipments(spark, sf_dir)))
+    return {
+        "flag_zscore": _ships(detect.zscore_flags),
+        "flag_iqr": _ships(detect.iqr_flags),
+        "anomaly_flags": _flagged(lambda s, f: f),
+        "flag_counts": _flagged(lambda s, f: detect.flag_counts(f)),
+        "flagged_distinct": _flagged(lambda s, f: detect.flagged_distinct(f)),
+        "lane_week_trends": _ships(detect.lane_week_trends),
+        "trend_summary": _ships(lambda s: detect.trend_summary(detect.lane_week_trends(s))),
+        "vw_carrier_ontime": _ships(views.carrier_ontime),
+        "vw_cost_by_mode_region": _ships(views.cost_by_mode_region),
+        "vw_anomaly_rate_by_region": _flagged(views.anomaly_rate_by_region),
+        "vw_carrier_scorecard": _flagged(views.carrier_scorecard),
+        "vw_executive_summary": _flagged(views.executive_summary),
+        "vw_lane_risk": _flagged(views.lane_risk),
+        "vw_anomaly_rate_by_region_export": _labelled(views.anomaly_rate_export),
+        "vw_carrier_scorecard_export": _labelled(views.carrier_scorecard_export),
+        "vw_executive_summary_export": _ships(lambda s: views.executive_summary(s, adapter.truth(s).where("is_anomaly = 1"))),
+        "vw_lane_risk_export": _labelled(views.lane_risk_export),
+        "top_expensive_lanes": _ships(adhoc.top_expensive_lanes),
+        "top_carrier_anomaly": _flagged(adhoc.top_carrier_anomaly),
+        "monthly_cost_trend": _ships(adhoc.monthly_cost_trend),
+        "fuel_vs_cost": fuel_costs,
+        "flag_detail": _flagged(lambda s, f: adhoc.flag_detail(f, s)),
+        "eval_zscore_flags": _ships(evaluate.local_zscore_flags),
+        "eval_iqr_flags": _ships(evaluate.local_iqr_flags),
+        "group_coverage": _ships(evaluate.group_coverage),
+        "eval_metrics": _ships(lambda s: evaluate.eval_metrics(s, adapter.truth(s))),
+        "eval_from_export": _exported_flags,
+        "validate_counts": _counts,
+        "validate_nulls": _ships(lambda s: quality.null_counts(s, ("shipment_id", "ship_date", "mode", "carrier_id", "total_cost"))),
+        "validate_flag_rate": _flagged(quality.flag_rate),
+        "validate_ontime": _ships(quality.ontime_by_mode),
+        "rates_duplicate_keys": _ships(lambda s: quality.duplicate_keys(adapter.rates(s), ["carrier_id", "mode", "lane_id"])),
+        "join_coverage": _ships(lambda s: quality.join_coverage(s, adapter.rates(s))),
+        "base_cost_check": _ships(quality.base_cost_error),
+        "dash_kpis": _ships(lambda s: datasets.kpis(datasets.flagged(s))),
+        "dash_flagged": _ships(lambda s: _off_ties(datasets.flagged(s).select("shipment_id", "cpl", "flagged"), "cpl")),
+        "dash_lane_week_trends": _ships(lambda s: _off_ties(_off_ties(datasets.lane_week_trends(s), "avg_cpl"), "rolling_4wk")),
+        "dash_anomalous_weeks": _week_flags,
+        "dash_cpl_distribution": _ships(lambda s: datasets.cpl_distribution(datasets.flagged(s))),
+        "dash_weekly_cpl": _ships(datasets.weekly_cpl),
+        "dash_top_lanes": _ships(lambda s: datasets.top_lanes(datasets.flagged(s)).withColumn("total_cost", F.round("total_cost", 2))),
+        "dash_carrier_scorecard": _ships(datasets.carrier_scatter),
+        "flag_breakdown": _ships(datasets.flag_breakdown),
+        "run_provenance": _provenance,
+        "carrier_rates": _ships(adapter.rates),
+        "fuel_surcharges": lambda spark, _: rounded(generate.fuel_surcharges(spark)),
+        "faf_lane_weights": lambda spark, sf_dir: generate.lane_weights(_raw_flows(spark, sf_dir)),
+        "faf_mode_share": lambda spark, sf_dir: rounded(generate.mode_shares(_raw_flows(spark, sf_dir).where("dms_mode <> '0'"))),
+        "gen_rates": lambda spark, _: generate.carrier_rates(spark),
+        "gen_shipments": _generated,
+        "flag_zscore_nation": _ships(detect.zscore_flags, nation),
+        "flag_iqr_nation": _ships(detect.iqr_flags, nation),
+        "lane_week_trends_nation": _ships(detect.lane_week_trends, nation),
+        "vw_lane_risk_nation": _flagged(views.lane_risk, nation),
+        "top_expensive_lanes_nation": _ships(adhoc.top_expensive_lanes, nation),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.statements()
