@@ -32,8 +32,9 @@ from cargolens.llm.shared import with_package, written
 
 WIDTH = 5
 SAMPLE, FREQUENT, BITS = 16, 4, 24
-BLOCK, CENTRES = 1500, 4
+BLOCK = 1500
 CHUNK = 4 << 20
+KEY = np.uint64((1 << 48) - 1)
 
 _random = np.random.default_rng(20)
 _BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -102,12 +103,12 @@ def identity(s: np.ndarray) -> int:
     """64 bits for a whole set."""
     if not len(s):
         return 0
-    return int(mix(np.array([s.sum() ^ np.uint64(len(s)) * _STEP], np.uint64) + np.bitwise_xor.reduce(mix(s + _STEP)))[0].astype(np.int64))
+    return int(mix((s.sum(keepdims=True) ^ mix(np.array([len(s)], np.uint64))) + np.bitwise_xor.reduce(mix(s + _STEP)))[0].astype(np.int64))
 
 
 def segments(s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the non-empty segments of a set in the order of segments, for the band of sizes from 2**band."""
-    m = np.uint64(max(64, 1 << band))
+    """Hashes of the non-empty segments of a set in the order of segments, for the band of sizes from 2**band to 4 * 2**band."""
+    m = np.uint64(max(64, 2 << band))
     at = ((s >> np.uint64(32)) * m) >> np.uint64(32)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     content = np.add.reduceat(mix(s), first)
@@ -117,10 +118,10 @@ def segments(s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
 
 def bands(n: int) -> list[tuple[int, int]]:
     """(band, H) in which a set of n > 7 elements gives keys: its own, and the one below where partners may lie there."""
-    own = n.bit_length() - 1
+    own = (n.bit_length() - 1 - 3) // 2 * 2 + 3
     found = [(own, n // 4)]
     if own > 3 and -(-4 * n // 5) < 1 << own:
-        found.append((own - 1, 2 * n // 9))
+        found.append((own - 2, 2 * n // 9))
     return found
 
 
@@ -142,7 +143,8 @@ def keys_of(s: np.ndarray, skipped: np.ndarray | None) -> tuple[np.ndarray, np.n
                 frequent.append(mix(at[skip] + np.uint64(3)))
                 if len(at) <= h:
                     frequent.append(mix(np.array([band], np.uint64) + np.uint64(5)))
-    return np.concatenate([none, *keys]), np.concatenate([none, *frequent])
+    # fewer bits shuffle less; keys that meet by chance only give pairs that do not verify
+    return np.concatenate([none, *keys]) & KEY, np.concatenate([none, *frequent]) & KEY
 
 
 def _keyed(docs: DataFrame, skipped: np.ndarray | None, every: bool) -> DataFrame:
@@ -195,17 +197,32 @@ def frequent_segments(docs: DataFrame) -> np.ndarray:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, set) of the sets ``wanted`` (id, doc, digest), read from one text each."""
+    """(id, n, short, set) of the sets ``wanted`` (id, doc, digest), read from one text each."""
     texts = docs.join(wanted.select("id", F.col("doc").alias("d"), F.col("digest").alias("g")), (F.col("digest") == F.col("g")) & F.col("doc").eqNullSafe(F.col("d"))).dropDuplicates(["id"]).select("id", "text")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for at in range(0, len(part), 512):
                 piece = part.slice(at, 512)
-                sets = [s.tobytes() for s in shingle_sets(piece.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(sets, pa.binary())], ["id", "set"])
+                sets = shingle_sets(piece.column("text").to_pylist())
+                columns = [pa.array(map(len, sets), pa.int64()), pa.array([short(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([piece.column("id"), *columns], ["id", "n", "short", "set"])
+
+    return with_package(texts).mapInArrow(batches, "id long, n long, short binary, set binary")
+
+
+def short(s: np.ndarray) -> np.ndarray:
+    """The elements of a quarter of the universe in 16 bits each. Two sets differ in at least as many elements as their short forms."""
+    return np.unique((s[(s & np.uint64(3)) == 0] >> np.uint64(48)).astype(np.uint16))
 
-    return with_package(texts).mapInArrow(batches, "id long, set binary")
+
+def _possible(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose short forms differ in no more elements than linked sets may."""
+    for part in parts:
+        keep = []
+        for x, y, m, n in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), part.column("m").to_pylist(), part.column("n").to_pylist()):
+            keep.append(5 * min(m, n) >= 4 * max(m, n) and len(np.setxor1d(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), assume_unique=True)) <= (m + n) // 9)
+        yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _linked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,19 +313,17 @@ def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     classes = rows.where("n > 0").groupBy("id").agg(F.min("n").alias("n"), F.min("doc").alias("least"), F.min(F.struct("doc", "digest")).alias("at"))
     classes = written(classes.select("id", "n", "least", "at.doc", "at.digest"))
     # similar sets share a key; equal sets of several batches are one member
-    keyed = rows.select("id", "n", F.explode("keys").alias("key")).repartition("key").groupBy("key", "id").agg(F.min("n").alias("n"))
-    groups = keyed.groupBy("key").agg(F.collect_list(F.struct("id", "n")).alias("g")).where("size(g) > 1")
-    pairs = (
-        groups.select(F.explode(F.expr("flatten(transform(g, (x, i) -> transform(filter(g, y -> y.id > x.id and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)), y -> struct(x.id as a, y.id as b))))")).alias("p"))
-        .select("p.a", "p.b")
-        .distinct()
-    )
+    keyed = rows.select("id", F.explode("keys").alias("key")).repartition("key").groupBy("key", "id").agg(F.lit(1).alias("one"))
+    groups = keyed.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("g")).where("size(g) > 1")
+    pairs = groups.select(F.explode(F.expr("flatten(transform(g, (x, i) -> transform(slice(g, i + 2, size(g)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b").distinct()
     pairs = written(pairs)
     members = written(rows.select("id", F.explode("frequent").alias("key")).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.select("id")).distinct()
     sets = written(_sets_of(base, classes.join(wanted, "id", "left_semi")))
-    linked = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").mapInArrow(_linked, "a long, b long")
-    families = _families(members).join(sets, "id").groupBy("centre", "low", "high").applyInPandas(_forest_of, "a long, b long")
+    sides = lambda p, column: p.join(sets.select(F.col("id").alias("a"), F.col(column).alias("x"), F.col("n").alias("m")), "a").join(sets.select(F.col("id").alias("b"), F.col(column).alias("y"), "n"), "b")
+    possible = written(with_package(sides(pairs, "short")).mapInArrow(_possible, "a long, b long"))
+    linked = with_package(sides(possible, "set")).mapInArrow(_linked, "a long, b long")
+    families = _families(members).join(sets.select("id", "set"), "id").groupBy("centre", "low", "high").applyInPandas(_forest_of, "a long, b long")
     roots = components(linked.unionByName(families))
     least = classes.select("id", "least").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "least")
     named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("id", "component_id")
