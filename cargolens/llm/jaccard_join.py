@@ -125,10 +125,10 @@ def bands(n: int) -> list[tuple[int, int]]:
     return found
 
 
-def keys_of(s: np.ndarray, skipped: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a set and, where it has too few segments that are not skipped, its keys among frequent segments."""
+def keys_of(s: np.ndarray, skipped: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Keys of a set; where it has too few segments that are not skipped, its keys among frequent segments; numbers of keys of its bands."""
     n, none = len(s), np.zeros(0, np.uint64)
-    keys, frequent = [], []
+    keys, frequent, given = [], [], []
     if 4 <= n <= 8:
         mixed, two = mix(s), np.uint64(2)
         whole = mixed.sum(keepdims=True)
@@ -139,16 +139,17 @@ def keys_of(s: np.ndarray, skipped: np.ndarray | None) -> tuple[np.ndarray, np.n
             skip = np.zeros(len(at), bool) if skipped is None else (skipped[at >> np.uint64(64 - BITS + 3)] >> ((at >> np.uint64(64 - BITS)) & np.uint64(7)).astype(np.uint8)) & 1 == 1
             rest = at[~skip]
             keys.append(rest[: h + 1])
+            given.append(len(keys[-1]))
             if len(rest) <= h:
                 frequent.append(mix(at[skip] + np.uint64(3)))
                 if len(at) <= h:
                     frequent.append(mix(np.array([band], np.uint64) + np.uint64(5)))
     # fewer bits shuffle less; keys that meet by chance only give pairs that do not verify
-    return np.concatenate([none, *keys]) & KEY, np.concatenate([none, *frequent]) & KEY
+    return np.concatenate([none, *keys]) & KEY, np.concatenate([none, *frequent]) & KEY, given
 
 
 def _keyed(docs: DataFrame, skipped: np.ndarray | None, every: bool) -> DataFrame:
-    """doc, digest, n, id, keys, frequent of each row; ``every``: all segments instead of keys. Keys once for equal sets of a batch."""
+    """doc, digest, n, id, keys, frequent, given of each row; ``every``: all segments instead of keys. Keys once for equal sets of a batch."""
     held = docs.sparkSession.sparkContext.broadcast(skipped)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,24 +159,27 @@ def _keyed(docs: DataFrame, skipped: np.ndarray | None, every: bool) -> DataFram
                 piece = part.slice(at, 512)
                 sets = shingle_sets(piece.column("text").to_pylist())
                 ids, seen, keys, frequent = [identity(s) for s in sets], set(), [], []
+                given = []
                 for i, s in zip(ids, sets):
-                    k = f = ()
+                    k = f = g = ()
                     if i not in seen and len(s):
                         seen.add(i)
                         if every:
                             k = np.concatenate([segments(s, b)[0] for b, _ in bands(len(s))]).view(np.int64) if len(s) >= 8 else ()
                         else:
-                            k, f = (x.view(np.int64) for x in keys_of(s, held.value))
+                            k, f, g = keys_of(s, held.value)
+                            k, f = k.view(np.int64), f.view(np.int64)
                     keys.append(k)
                     frequent.append(f)
+                    given.append(g)
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc"), piece.column("digest"), pa.array(map(len, sets), pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, longs), pa.array(frequent, longs)],
-                    ["doc", "digest", "n", "id", "keys", "frequent"],
+                    [piece.column("doc"), piece.column("digest"), pa.array(map(len, sets), pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, longs), pa.array(frequent, longs), pa.array(given, longs)],
+                    ["doc", "digest", "n", "id", "keys", "frequent", "given"],
                 )
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return with_package(docs).mapInArrow(batches, f"doc {kind}, digest long, n long, id long, keys array<bigint>, frequent array<bigint>")
+    return with_package(docs).mapInArrow(batches, f"doc {kind}, digest long, n long, id long, keys array<bigint>, frequent array<bigint>, given array<bigint>")
 
 
 def frequent_segments(docs: DataFrame) -> np.ndarray:
@@ -310,13 +314,19 @@ def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     base = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = written(_keyed(base, frequent_segments(base), False))
-    classes = rows.where("n > 0").groupBy("id").agg(F.min("n").alias("n"), F.min("doc").alias("least"), F.min(F.struct("doc", "digest")).alias("at"))
-    classes = written(classes.select("id", "n", "least", "at.doc", "at.digest"))
+    classes = rows.where("n > 0").groupBy("id").agg(F.min("n").alias("n"), F.min("doc").alias("least"), F.min(F.struct("doc", "digest")).alias("at"), F.max("given").alias("given"))
+    classes = written(classes.select("id", "n", "least", "at.doc", "at.digest", "given"))
     # similar sets share a key; equal sets of several batches are one member
     keyed = rows.select("id", F.explode("keys").alias("key")).repartition("key").groupBy("key", "id").agg(F.lit(1).alias("one"))
     groups = keyed.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("g")).where("size(g) > 1")
-    pairs = groups.select(F.explode(F.expr("flatten(transform(g, (x, i) -> transform(slice(g, i + 2, size(g)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b").distinct()
-    pairs = written(pairs)
+    pairs = groups.select(F.explode(F.expr("flatten(transform(g, (x, i) -> transform(slice(g, i + 2, size(g)), y -> struct(x as a, y as b))))")).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("c"))
+    # Of the first E segments that one or the other has, at most H differ; so linked sets share E - H keys at least,
+    # E being the smaller number of keys that they gave in the band of the smaller set (one less against chance).
+    size = lambda side: classes.select(F.col("id").alias(side), F.struct("n", "given").alias(f"of_{side}"))
+    sized = pairs.join(size("a"), "a").join(size("b"), "b").select("a", "b", "c", F.least("of_a", "of_b").alias("r"), F.greatest("of_a", "of_b").alias("s"))
+    band = lambda c: f"floor((length(bin({c})) - 4) / 2)"
+    shared = f"least(get(r.given, 0), get(s.given, if({band('r.n')} = {band('s.n')}, 0, 1))) - floor((r.n + s.n) / 9) - 1"
+    pairs = written(sized.where("5 * r.n >= 4 * s.n").where(f"s.n <= 8 or r.n < 8 or c >= coalesce({shared}, 1)").select("a", "b"))
     members = written(rows.select("id", F.explode("frequent").alias("key")).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.select("id")).distinct()
     sets = written(_sets_of(base, classes.join(wanted, "id", "left_semi")))
