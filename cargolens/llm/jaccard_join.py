@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from cargolens.llm.shared import with_package, written
 
 WIDTH = 5
-SAMPLE, FREQUENT, BITS = 16, 4, 24
+SAMPLE, FREQUENT, BITS = 16, 3, 26
 BLOCK = 1500
 CHUNK = 4 << 20
 KEY = np.uint64((1 << 48) - 1)
@@ -141,7 +141,8 @@ def keys_of(s: np.ndarray, skipped: np.ndarray | None) -> tuple[np.ndarray, np.n
             keys.append(rest[: h + 1])
             given.append(len(keys[-1]))
             if len(rest) <= h:
-                frequent.append(mix(at[skip] + np.uint64(3)))
+                # in the order of others first, then frequent ones, the first H + 1 do again
+                frequent.append(mix(at[skip][: h + 1 - len(rest)] + np.uint64(3)))
                 if len(at) <= h:
                     frequent.append(mix(np.array([band], np.uint64) + np.uint64(5)))
     # fewer bits shuffle less; keys that meet by chance only give pairs that do not verify
@@ -194,7 +195,7 @@ def frequent_segments(docs: DataFrame) -> np.ndarray:
         np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
         return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "bytes": [out.tobytes()]})
 
-    out = np.zeros(1 << (BITS - 3), np.uint8)  # at most 512 chunks of 4 KB
+    out = np.zeros(1 << (BITS - 3), np.uint8)  # at most 2048 chunks of 4 KB
     for r in bits.groupBy("chunk").applyInPandas(packed, "chunk long, bytes binary").collect():
         out[r.chunk * 4096 : (r.chunk + 1) * 4096] = np.frombuffer(r.bytes, np.uint8)
     return out
