@@ -117,7 +117,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept if c != text]).alias("rest"), F.col(doc_id).alias("doc"), F.xxhash64(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text"))
     texts = keyed.where("text is not null").select("doc", "row", "text")
-    lines = occurrences(texts, min_words)
+    lines = written(occurrences(texts, min_words))
     first = written(lines.groupBy("h1", "h2").agg(F.min(F.struct(*AT)).alias("at"), F.max(F.struct(*AT)).alias("last"), *[F.first(f"half{i}").alias(f"half{i}") for i in range(4)]))
     near = near_earlier(texts, first).withColumn("near", F.lit(True))
     judged = first.join(near, "at", "left").where("near or at <> last").select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near"))
