@@ -83,7 +83,7 @@ def _chain(e: np.ndarray, first: np.ndarray, transition: np.ndarray, start: np.n
     pad = c * block - n
     psi = np.exp(e - e.max(1, keepdims=True))
     psi = np.concatenate([psi, np.ones((pad, k), psi.dtype)]).reshape(c, block, k)
-    new = np.concatenate([first, np.zeros(pad, bool)]).reshape(c, block)
+    new = np.concatenate([first, np.ones(pad, bool)]).reshape(c, block)
     a, s = np.exp(transition - transition.max()).astype(psi.dtype), np.exp(start - start.max()).astype(psi.dtype)
 
     psi, starts = np.ascontiguousarray(psi.transpose(1, 0, 2)), [np.flatnonzero(x) for x in new.T]  # by place within blocks
