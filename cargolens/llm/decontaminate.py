@@ -91,11 +91,19 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     lengths = sorted(n_pieces[1]) or [window]
     hashes = pieces.select("hash", "n").distinct()
     hashes = F.broadcast(hashes) if n_pieces[0] <= BROADCAST_WINDOWS else hashes
-    found = (
-        _kept(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text")
-        .select("doc_id", "words", F.expr("transform(words, w -> xxhash64(w.t))").alias("h"))
-        .select("doc_id", "words", F.explode(F.expr(_windows(lengths))).alias("x"))
+    # windows first, without the words, so that rows stay small; then the words of documents with a hit
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("row"))
+    hits = (
+        _kept(base, "text")
+        .select("doc_id", "row", F.expr("transform(words, w -> xxhash64(w.t))").alias("h"))
+        .select("doc_id", "row", F.explode(F.expr(_windows(lengths))).alias("x"))
         .join(hashes.select(F.col("hash").alias("b_hash"), F.col("n").alias("b_n")), (F.col("x.hash") == F.col("b_hash")) & (F.col("x.n") == F.col("b_n")))
+        .groupBy(F.col("doc_id").alias("d"), F.col("row").alias("g"))
+        .agg(F.collect_set("x").alias("xs"))
+    )
+    found = (
+        _kept(base.join(hits, (F.col("row") == F.col("g")) & F.col("doc_id").eqNullSafe(F.col("d"))), "text")
+        .select("doc_id", "words", F.explode("xs").alias("x"))
         .select("doc_id", F.col("x.hash").alias("hash"), F.col("x.n").alias("n"), F.expr("slice(words, x.i + 1, x.n)").alias("w"))
         .select("doc_id", "hash", "n", F.expr("transform(w, w -> w.t)").alias("template"), F.expr(_slots("w")).alias("mine"))
         .distinct()
