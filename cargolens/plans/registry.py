@@ -91,7 +91,7 @@ def queries() -> dict[str, Query]:
         "lane_week_trends": _ships(detect.lane_week_trends),
         "trend_summary": _ships(lambda s: detect.trend_summary(detect.lane_week_trends(s))),
         "vw_carrier_ontime": _ships(views.carrier_ontime),
-        "vw_cost_by_mode_region": _ships(views.cost_by_mode_region),
+        "vw_cost_by_mode_region": _ships(lambda s: _off_ties(views.cost_by_mode_region(s), "avg_total_cost")),
         "vw_anomaly_rate_by_region": _flagged(views.anomaly_rate_by_region),
         "vw_carrier_scorecard": _flagged(views.carrier_scorecard),
         "vw_executive_summary": _flagged(views.executive_summary),
