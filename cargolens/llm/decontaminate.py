@@ -34,17 +34,20 @@ NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 
 
 def _spaced(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r<>", "       ")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\t-\r<>]", " ")
 
 
 def templates(text: Column) -> Column:
-    """Template words of a text, word for word as ``plain`` has them; '' for words of punctuation only."""
+    """Template words of a text, word for word as ``plain`` has them; '' for words of punctuation only.
+
+    In the patterns, what is rare is tested first, so that most characters cost one test.
+    """
     t = _spaced(text)
     # names: capitalised after a word that ends no sentence
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;] )\p{Lu}[\p{Ll}][\p{L}'-]*(?![^ ,;.:!?])", NAME)
+    t = F.regexp_replace(t, r"(?=\p{Lu})(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}[\p{L}'-]*(?![^ ,;.:!?])", NAME)
     # numbers: digits with separators, signs and what is glued on
-    t = F.regexp_replace(t, r"(?<![^ ])[$€£+(-]*\d[^ ]*", NUM)
-    t = F.regexp_replace(t, rf"(?<=<num> )(?:{'|'.join(UNITS)})(?=[.,;:!?)]? |[.,;:!?)]?$)", UNIT)
+    t = F.regexp_replace(t, r"(?=[$€£+(\d-])(?<![^ ])[$€£+(-]*\d[^ ]*", NUM)
+    t = F.regexp_replace(t, rf"{NUM} (?:{'|'.join(UNITS)})(?=[.,;:!?)]? |[.,;:!?)]?$)", f"{NUM} {UNIT}")
     t = F.regexp_replace(F.lower(t), r"[^\p{L}\p{M}<> ]+", "")
     return F.split(t, " ")
 
@@ -54,9 +57,9 @@ def plain(text: Column) -> Column:
 
 
 def _windows(lengths: list[int]) -> str:
-    """Hashes and places of windows of word hashes ``h``, all lengths."""
-    one = "transform(if(size(h) >= {n}, sequence(0, size(h) - {n}), array()), i -> struct(i as i, {n} as n, xxhash64(slice(h, i + 1, {n})) as hash))"
-    parts = [one.format(n=n) for n in lengths]
+    """Hashes and places of windows of word hashes ``h``, all lengths. Words are got one by one: a slice costs a whole text each."""
+    words = lambda n: ", ".join(f"get(h, i + {k})" for k in range(n))
+    parts = [f"transform(if(size(h) >= {n}, sequence(0, size(h) - {n}), array()), i -> struct(i as i, {n} as n, xxhash64({words(n)}) as hash))" for n in lengths]
     return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
 
 
@@ -93,9 +96,9 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     hashes = F.broadcast(hashes) if n_pieces[0] <= BROADCAST_WINDOWS else hashes
     # windows first, without the words, so that rows stay small; then the words of documents with a hit
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("row"))
-    hits = (
-        _kept(base, "text")
-        .select("doc_id", "row", F.expr("transform(words, w -> xxhash64(w.t))").alias("h"))
+    hits = written(
+        base.select("doc_id", "row", F.array_remove(templates(F.col("text")), "").alias("t"))
+        .select("doc_id", "row", F.expr("transform(t, t -> xxhash64(t))").alias("h"))
         .select("doc_id", "row", F.explode(F.expr(_windows(lengths))).alias("x"))
         .join(hashes.select(F.col("hash").alias("b_hash"), F.col("n").alias("b_n")), (F.col("x.hash") == F.col("b_hash")) & (F.col("x.n") == F.col("b_n")))
         .groupBy(F.col("doc_id").alias("d"), F.col("row").alias("g"))
@@ -103,8 +106,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     )
     found = (
         _kept(base.join(hits, (F.col("row") == F.col("g")) & F.col("doc_id").eqNullSafe(F.col("d"))), "text")
-        .select("doc_id", "words", F.explode("xs").alias("x"))
-        .select("doc_id", F.col("x.hash").alias("hash"), F.col("x.n").alias("n"), F.expr("slice(words, x.i + 1, x.n)").alias("w"))
+        .select("doc_id", F.explode(F.expr("transform(xs, x -> struct(x.hash as hash, x.n as n, transform(sequence(0, x.n - 1), k -> get(words, x.i + k)) as w))")).alias("x"))
+        .select("doc_id", "x.*")
         .select("doc_id", "hash", "n", F.expr("transform(w, w -> w.t)").alias("template"), F.expr(_slots("w")).alias("mine"))
         .distinct()
     )
