@@ -9,7 +9,8 @@ numbers, names or units is found, while windows that only share their placeholde
 Scale: texts are read once for the windows; hashes of windows are filtered against the benchmark's by a broadcast
 of the hashes alone where there are at most ``BROADCAST_WINDOWS`` of them (counted first), else by a shuffled join;
 both give the same rows. Benchmark windows with the same hash are one row, so a frequent passage costs one match a
-document. Only matches, never texts, are shuffled.
+document. Matches grow with the documents, so the texts that have some are found by a shuffled join at every size:
+it moves each text once.
 """
 
 from __future__ import annotations
@@ -105,7 +106,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
         .agg(F.collect_set("x").alias("xs"))
     )
     found = (
-        _kept(base.join(hits, (F.col("row") == F.col("g")) & F.col("doc_id").eqNullSafe(F.col("d"))), "text")
+        _kept(base.join(hits.hint("merge"), (F.col("row") == F.col("g")) & F.col("doc_id").eqNullSafe(F.col("d"))), "text")
         .select("doc_id", F.explode(F.expr("transform(xs, x -> struct(x.hash as hash, x.n as n, transform(sequence(0, x.n - 1), k -> get(words, x.i + k)) as w))")).alias("x"))
         .select("doc_id", "x.*")
         .select("doc_id", "hash", "n", F.expr("transform(w, w -> w.t)").alias("template"), F.expr(_slots("w")).alias("mine"))
