@@ -6,8 +6,8 @@ hashed variants finds every near pair. The edit distance of what was found is ve
 stays only if no equal or near line comes before it.
 
 Scale. Equal lines are first brought down to one by a 128-bit hash; only hashes are shuffled. Near lines agree
-either on their first or on their last half, so lines whose halves are met nowhere else (most lines) need no
-variants; that test is exact. Hashes of all variants of a line come from two running XORs, in linear time. Groups
+either on their first or on their last words, so lines whose ends are met in no other line (most lines) need no
+variants; that test is exact but for chance collisions of 64-bit hashes. Hashes of all variants of a line come from two running XORs, in linear time. Groups
 of lines with one variant are aggregated to their earliest member, never paired with each other: a template with a
 counter that fills a third of all lines costs one link a line. Joins that meet hot keys have a unique other side,
 so adaptive execution can split them.
@@ -36,32 +36,41 @@ def _without(words: Column, i: Column) -> Column:
     return F.concat(F.slice(words, F.lit(1), i), F.slice(words, i + 2, F.greatest(F.size(words) - i - 1, F.lit(0))))
 
 
+def _reach(n: Column) -> Column:
+    """The largest of 0, 1, 2, 3, 4, 6, 8, 12, 16 and so on up to half of n: few lines differ in it from those one word shorter."""
+    x = F.floor(n / 2).cast("int")
+    power = F.pow(F.lit(2), F.length(F.bin(x)) - 1).cast("int")
+    return F.when(x < 2, x).otherwise(F.when(x * 2 >= power * 3, F.floor(power * 3 / 2).cast("int")).otherwise(power))
+
+
 def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
-    """A row for each line of enough words: its place, two hashes of its words and the hashes of its halves.
+    """A row for each line of enough words: its place, two hashes of its words and the hashes of its ends.
 
-    halves: for the number of words of the shorter line of a pair (n - 1 or n), the first and the last half of it.
+    halves: the first and the last words, as many as ``_reach`` says for the number of words of the shorter line of a
+    pair (n or n - 1); the two ends of the shorter line do not overlap, so that one edit leaves one of them equal.
     """
-    half = lambda n: F.floor(n / 2).cast("int")
     w, n = F.col("w"), F.col("n")
-    sides = [
-        F.xxhash64(F.lit(side), m, F.slice(w, F.lit(1), half(m)) if side == 0 else F.slice(w, n - half(m) + 1, half(m)))
-        for m in (n, n - 1)
-        for side in (0, 1)
-    ]
+    ends = lambda m: [F.xxhash64(F.lit(0), F.slice(w, F.lit(1), m)), F.xxhash64(F.lit(1), F.slice(w, n - m + 1, m))]
+    mine, shorter = F.col("mine"), F.col("shorter")
     return (
         docs.select("doc", "row", F.posexplode(_lines(F.col("text"))).alias("line_no", "line"))
         .select(*AT, _words(F.col("line")).alias("w"))
         .withColumn("n", F.size("w"))
         .where(n >= min_words)
-        .select(*AT, "n", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), *[s.alias(f"half{i}") for i, s in enumerate(sides)])
+        .withColumns({"mine": _reach(n), "shorter": _reach(n - 1)})
+        .select(*AT, F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), F.when(mine == shorter, F.array(*ends(mine))).otherwise(F.array(*ends(mine), *ends(shorter))).alias("halves"))
     )
 
 
-def near_earlier(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """Places (``first`` occurrences of different lines) for which a near line has its first occurrence before them."""
-    halves = first.select("at", F.explode(F.array(*[f"half{i}" for i in range(4)])).alias("half"))
-    shared = halves.groupBy("half").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a <> b").select("half")
-    wanted = halves.join(shared, "half", "left_semi").select("at").distinct()
+def with_shared_end(lines: DataFrame) -> DataFrame:
+    """h1 and h2 of the lines that have an end in common with a different line."""
+    halves = lines.select("h1", "h2", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half")
+    return halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
+
+
+def near_earlier(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Those places ``at`` of ``wanted`` (first occurrences of different lines) for which another one before them has a near line."""
     of_doc = wanted.groupBy(F.col("at.doc").alias("doc"), F.col("at.row").alias("row")).agg(F.collect_list("at.line_no").alias("numbers"))
     lines = written(
         docs.join(of_doc, docs.doc.eqNullSafe(of_doc.doc) & (docs.row == of_doc.row))
@@ -118,8 +127,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept if c != text]).alias("rest"), F.col(doc_id).alias("doc"), F.xxhash64(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text"))
     texts = keyed.where("text is not null").select("doc", "row", "text")
     lines = written(occurrences(texts, min_words))
-    first = written(lines.groupBy("h1", "h2").agg(F.min(F.struct(*AT)).alias("at"), F.max(F.struct(*AT)).alias("last"), *[F.first(f"half{i}").alias(f"half{i}") for i in range(4)]))
-    near = near_earlier(texts, first).withColumn("near", F.lit(True))
+    wanted = with_shared_end(lines).withColumn("wanted", F.lit(True))
+    first = lines.groupBy("h1", "h2").agg(F.min(F.struct(*AT)).alias("at"), F.max(F.struct(*AT)).alias("last"))
+    # most lines are met once and near to none: they go no further
+    first = written(first.join(wanted, ["h1", "h2"], "left").where("wanted or at <> last"))
+    near = near_earlier(texts, first.where("wanted").select("at")).withColumn("near", F.lit(True))
     judged = first.join(near, "at", "left").where("near or at <> last").select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near"))
     gone = (
         lines.select(F.struct(*AT).alias("here"), "h1", "h2")
