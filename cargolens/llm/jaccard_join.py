@@ -333,9 +333,14 @@ def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     sets = written(_sets_of(base, classes.join(wanted, "id", "left_semi")))
     sides = lambda p, column: p.join(sets.select(F.col("id").alias("a"), F.col(column).alias("x"), F.col("n").alias("m")), "a").join(sets.select(F.col("id").alias("b"), F.col(column).alias("y"), "n"), "b")
     possible = written(with_package(sides(pairs, "short")).mapInArrow(_possible, "a long, b long"))
-    linked = with_package(sides(possible, "set")).mapInArrow(_linked, "a long, b long")
+    linked = lambda p: with_package(sides(p, "set")).mapInArrow(_linked, "a long, b long")
     families = _families(members).join(sets.select("id", "set"), "id").groupBy("centre", "low", "high").applyInPandas(_forest_of, "a long, b long")
-    roots = components(linked.unionByName(families))
+    # Whole sets are shipped for one pair a set first; then for the pairs whose ends have not met yet, so that a group
+    # of copies costs its size, not its square.
+    roots = components(linked(possible.groupBy("b").agg(F.min("a").alias("a"))).unionByName(families))
+    root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    apart = possible.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+    roots = components(linked(apart).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     least = classes.select("id", "least").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "least")
     named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("id", "component_id")
     return rows.select("doc", "n", F.when(F.col("n") > 0, F.col("id")).alias("id")).join(named, "id", "left").select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
