@@ -5,6 +5,11 @@ the element that holds it (menus, forms and what a class, id or role names as su
 length and by the density of stop words. Short blocks and blocks with few stop words stay ambiguous. In the second
 pass an ambiguous block takes the label of the nearest decided block.
 
+An article container (article, main, or a class or id like content) is a prior and decides no block alone: in it,
+fewer stop words are enough, few of them leave a long block ambiguous instead of out, and ambiguous blocks look at
+decided blocks of the containers first, as the menus around say nothing about them. Text outside goes by the same
+rules as on a page without a container, except that at equal distance from text and boilerplate it goes.
+
 Scale: a map over rows without a shuffle; whole pages, batch by batch.
 """
 
@@ -137,31 +142,27 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     return result
 
 
-def first_pass(text: str, links: float, out: bool, inside: bool, heading: bool, has_article: bool) -> bool | None:
+def first_pass(text: str, links: float, out: bool, inside: bool, heading: bool) -> bool | None:
     """True and False are decided, None is ambiguous."""
     if out or links > LINKS and not (inside and len(text) > SHORT and links < 0.8):
         return False
-    if has_article:
-        return inside
     words = WORDS.findall(text.lower())
     stop = sum(w in STOP for w in words) / max(1, len(words))
     if heading or len(text) < SHORT:
         return None
-    if stop >= MANY or len(text) > LONG and stop >= FEW:
+    if stop >= (FEW if inside else MANY) or len(text) > LONG and stop >= FEW:
         return True
-    return None if stop >= FEW or len(text) <= LONG else False
+    return None if inside or stop >= FEW or len(text) <= LONG else False
 
 
-def extract(page: str | None) -> str:
-    found = blocks(page or "")
-    has_article = any(b[3] and not b[2] for b in found)
-    labels = [first_pass(*b, has_article) for b in found]
+def second_pass(labels: list[bool | None], headings: list[bool], tie: bool) -> list[bool]:
+    """Ambiguous blocks get the label of the nearest decided one; ``tie``: theirs at equal distance of different labels."""
     before: list[tuple[int, bool | None]] = []
     last: tuple[int, bool | None] = (-1, None)
     for i, x in enumerate(labels):
         last = (i, x) if x is not None else last
         before.append(last)
-    kept, nxt = [], (-1, None)
+    result, nxt = [], (-1, None)
     for i in range(len(labels) - 1, -1, -1):
         nxt = (i, labels[i]) if labels[i] is not None else nxt
         label = labels[i]
@@ -169,16 +170,24 @@ def extract(page: str | None) -> str:
             (a, left), (b, right) = before[i], nxt
             if left is None or right is None:
                 label = left if right is None else right
-                # a page of ambiguous blocks only: text without links and menus is all that it has
+                # ambiguous blocks only: text without links and menus is all that there is
                 label = True if left is None and right is None else label
             elif left == right:
                 label = left
             else:
-                # a heading goes with what follows; at equal distance a block stays
-                label = right if found[i][4] else left if i - a < b - i else right if b - i < i - a else True
-        if label:
-            kept.append(found[i][0])
-    return "\n".join(reversed(kept))
+                # a heading goes with what follows
+                label = right if headings[i] else left if i - a < b - i else right if b - i < i - a else tie
+        result.append(label)
+    return result[::-1]
+
+
+def extract(page: str | None) -> str:
+    found = blocks(page or "")
+    labels, headings = [first_pass(*b) for b in found], [b[4] for b in found]
+    inside = [i for i, b in enumerate(found) if b[3]]
+    for i, label in zip(inside, second_pass([labels[i] for i in inside], [headings[i] for i in inside], True)):
+        labels[i] = label
+    return "\n".join(b[0] for b, kept in zip(found, second_pass(labels, headings, not inside)) if kept)
 
 
 def extract_main_text(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

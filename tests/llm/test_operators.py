@@ -208,6 +208,17 @@ def test_html():
     assert html_blocks.extract(None) == html_blocks.extract("") == html_blocks.extract("<p>") == ""
 
 
+def test_html_article_is_a_prior():
+    """Main text outside of an article stays, boilerplate in it goes, and short or foreign text in it stays."""
+    good = ("the cat of a dog is in the house and it was good for all of them " * 4).strip()
+    around = "<nav><a>m</a></nav>{}<footer>f</footer>"
+    assert html_blocks.extract(around.format(f"<article><p>{good}</p></article><div><p>{good} too</p></div>")) == f"{good}\n{good} too"
+    assert html_blocks.extract(around.format(f"<div class=content><p>{good}</p></div><h2>Head</h2><p>{good} too</p>")) == f"{good}\nHead\n{good} too"
+    assert html_blocks.extract(around.format(f"<article><p>{good}</p><p>Short.</p><p>Share</p><p>Tweet</p><ul><li><a>x y</a></li></ul></article><div>Imprint</div>")) == f"{good}\nShort.\nShare"
+    foreign = "perché gatto " * 30
+    assert html_blocks.extract(around.format(f"<article><p>a</p><p>{foreign}</p></article>")) == f"a\n{foreign.strip()}"
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", "<article><p>a</p></article>")], "page_id long, url string, html string")
     assert sorted((r.text, r.n_chars) for r in html_blocks.extract_main_text(pages).collect()) == [("", 0), ("a", 1)]
