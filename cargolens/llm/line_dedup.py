@@ -43,22 +43,25 @@ def _reach(n: Column) -> Column:
     return F.when(x < 2, x).otherwise(F.when(x * 2 >= power * 3, F.floor(power * 3 / 2).cast("int")).otherwise(power))
 
 
-def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
+def occurrences(docs: DataFrame, min_words: int, short_repeats: bool) -> DataFrame:
     """A row for each line of enough words: its place, two hashes of its words and the hashes of its ends.
 
+    With ``short_repeats``, shorter lines but blank ones have a row too; they have no ends, so they are near to none.
+
     halves: the first and the last words, as many as ``_reach`` says for the number of words of the shorter line of a
     pair (n or n - 1); the two ends of the shorter line do not overlap, so that one edit leaves one of them equal.
     """
     w, n = F.col("w"), F.col("n")
     ends = lambda m: [F.xxhash64(F.lit(0), F.slice(w, F.lit(1), m)), F.xxhash64(F.lit(1), F.slice(w, n - m + 1, m))]
     mine, shorter = F.col("mine"), F.col("shorter")
+    halves = F.when(mine == shorter, F.array(*ends(mine))).otherwise(F.array(*ends(mine), *ends(shorter)))
     return (
         docs.select("doc", "row", F.posexplode(_lines(F.col("text"))).alias("line_no", "line"))
         .select(*AT, _words(F.col("line")).alias("w"))
         .withColumn("n", F.size("w"))
-        .where(n >= min_words)
+        .where(n >= (1 if short_repeats else min_words))
         .withColumns({"mine": _reach(n), "shorter": _reach(n - 1)})
-        .select(*AT, F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), F.when(mine == shorter, F.array(*ends(mine))).otherwise(F.array(*ends(mine), *ends(shorter))).alias("halves"))
+        .select(*AT, F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), (F.when(n >= min_words, halves).otherwise(F.array().cast("array<bigint>")) if short_repeats else halves).alias("halves"))
     )
 
 
@@ -114,19 +117,19 @@ def near_earlier(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return links.join(mine, "at").join(theirs, "other").where(cut("a", "i") == cut("b", "j")).select("at")
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, short_repeats: bool = False) -> DataFrame:
     """The rows of ``docs``; of their texts, lines that repeat earlier ones are gone; with n_lines and n_dropped.
 
-    Order is by doc_id (null first), then by line. Lines of under ``min_words`` words are left alone. A line of n
-    words goes if a line before it has the same words or differs by one word (replaced, put in or left out); the
-    line before counts even where it goes itself. Rows that agree on doc_id and text count as one. A null text
+    Order is by doc_id (null first), then by line. A line of n words goes if a line before it has the same words or differs by one word (replaced, put in or left out); the
+    line before counts even where it goes itself. Lines of under ``min_words`` words are near to none; with
+    ``short_repeats`` they go if a line before has the same words, else they are left alone. Blank lines stay. Rows that agree on doc_id and text count as one. A null text
     stays null with no lines; an empty one has one line. Further columns are kept; n_lines and n_dropped are
     replaced where the input has them.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept if c != text]).alias("rest"), F.col(doc_id).alias("doc"), F.xxhash64(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text"))
     texts = keyed.where("text is not null").select("doc", "row", "text")
-    lines = written(occurrences(texts, min_words))
+    lines = written(occurrences(texts, min_words, short_repeats))
     wanted = with_shared_end(lines).withColumn("wanted", F.lit(True))
     first = lines.groupBy("h1", "h2").agg(F.min(F.struct(*AT)).alias("at"), F.max(F.struct(*AT)).alias("last"))
     # most lines are met once and near to none: they go no further

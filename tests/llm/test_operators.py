@@ -82,6 +82,20 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    """The query and the pipeline take exact repeats of lines of any length but blank ones, near ones from five words on."""
+    import corpus_pipeline
+    from cargolens.llm import registry
+
+    made = ["Read more\n\na b c d\na b c d e", "Read \t more\n\na b c e\nx", "x\n \na b c d e f\nRead less", "Read more", None, ""]
+    docs_of(spark, made).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in registry.op3_line_dedup(spark, str(tmp_path)).collect()}
+    want = ["Read more\n\na b c d\na b c d e", "\na b c e\nx", " \nRead less", "", None, ""]
+    assert [got[i][0] for i in range(6)] == want and [got[i][1] for i in range(6)] == [0, 1, 2, 1, 0, 0]
+    docs = docs_of(spark, made).selectExpr("*", "length(text) as n_chars")
+    assert sorted(r.doc_id for r in corpus_pipeline.line_stage(spark, docs, "").collect()) == [0, 1, 2, 4, 5]
+
+
 def test_secret_scan(spark):
     key = "x9Kf02LmQz7TtB4vYw81Rs"
     made = [f'token = "{key}"', "AKIA" + "A1B2C3D4E5F6G7H8", "deadbeefdeadbeef00", f"our client credentials are {key} now", "the secret settings_of_the_module_name_configuration", None, ""]
