@@ -248,3 +248,13 @@ def test_decontaminate(spark):
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_benchmark(docs, bench).collect()) == [(0, 1), (1, 1), (7, 4)]
     assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == [2, 3, 4, 5, 6]
     assert decontaminate.find_benchmark(docs, bench.limit(0)).count() == 0
+
+
+def test_decontaminate_short_and_dense_items(spark):
+    """Items with few words besides placeholders are met word for word, short ones also after a word, a comma or a heading."""
+    items = ["Solve 3 x + 5 = 20", "What force keeps the moon on its path then", "1 2 3 4 5 6 7 8 9 10 kg", "What is it", "Why do 7 birds of the north fly over here"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    made = ["now Solve 3 x + 5 = 20.", "Solve 4 x + 5 = 20", "Practice questions\nWhat force keeps the moon on its path then", "so, What force keeps the moon on its path then?"]
+    made += ["Maria said Paris force keeps the moon on its path then", "see: 1 2 3 4 5 6 7 8 9 10 kg, so", "1 2 3 4 5 6 7 8 9 11 kg", "and What is it now", "they ask Why do 9 birds of the north fly over here", *items]
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.find_benchmark(docs_of(spark, made), bench).collect())
+    assert got == [(0, 0), (2, 1), (3, 1), (5, 2), (7, 3), (8, 4), (9, 0), (10, 1), (11, 2), (12, 3), (13, 4)]
