@@ -5,8 +5,10 @@ similarity of 0.8 differ in at most H = floor((a + b) / 9) elements. Per size ba
 into segments; where H + 1 segments are not empty in one set or the other, one of them is equal in both. So each
 set gives the contents of its first H + 1 segments as keys, and similar sets share a key.
 
-Allocation by cost. Sets of 4 to 8 elements take one segment with its one-deletion neighbourhood, as H is 1. Larger
-sets take exact segments only (each costs one key, a neighbourhood one key an element), and segments that are
+Allocation by cost. Sets of 4 to 8 elements take one segment with its one-deletion neighbourhood, as H is 1: two of
+them that are not equal are similar only if one is the other with one element more, so one-deletion keys of 5 to 8
+elements meet whole sets of one element less, never each other. A whole set is unique, so a deletion key that many
+texts share costs one link a text. Larger sets, and 8 elements with 9 and 10, take exact segments only (each costs one key, a neighbourhood one key an element), and segments that are
 frequent in the corpus, measured on a sixteenth of all texts, get no allocation: every set skips them and goes on
 to its next ones. Any choice of skipped segments keeps the join exact, because it depends on the contents alone;
 so the frequent ones are held in a bitmap of fixed size, and hits by chance do no harm. Sets with too few other
@@ -125,14 +127,18 @@ def bands(n: int) -> list[tuple[int, int]]:
     return found
 
 
+def small_keys(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The key of a whole set of 4 to 7 elements, and the keys of a set of 5 to 8 with one element deleted."""
+    n, none = len(s), np.zeros(0, np.uint64)
+    mixed, two = mix(s), np.uint64(2)
+    whole = mixed.sum(keepdims=True)
+    return (mix(whole * two + np.uint64(n)) if 4 <= n <= 7 else none), (mix((whole - mixed) * two + np.uint64(n - 1)) if 5 <= n <= 8 else none)
+
+
 def keys_of(s: np.ndarray, skipped: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Keys of a set; where it has too few segments that are not skipped, its keys among frequent segments; numbers of keys of its bands."""
+    """Keys of a set by segments; where it has too few segments that are not skipped, its keys among frequent segments; numbers of keys of its bands."""
     n, none = len(s), np.zeros(0, np.uint64)
     keys, frequent, given = [], [], []
-    if 4 <= n <= 8:
-        mixed, two = mix(s), np.uint64(2)
-        whole = mixed.sum(keepdims=True)
-        keys += [mix(whole * two + np.uint64(n)), mix((whole - mixed) * two + np.uint64(n - 1))]
     if n >= 8:
         for band, h in bands(n):
             at, _ = segments(s, band)
@@ -150,7 +156,7 @@ def keys_of(s: np.ndarray, skipped: np.ndarray | None) -> tuple[np.ndarray, np.n
 
 
 def _keyed(docs: DataFrame, skipped: np.ndarray | None, every: bool) -> DataFrame:
-    """doc, digest, n, id, keys, frequent, given of each row; ``every``: all segments instead of keys. Keys once for equal sets of a batch."""
+    """doc, digest, n, id, keys, frequent, given, whole, less of each row; ``every``: all segments instead of keys. Keys once for equal sets of a batch."""
     held = docs.sparkSession.sparkContext.broadcast(skipped)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,27 +166,30 @@ def _keyed(docs: DataFrame, skipped: np.ndarray | None, every: bool) -> DataFram
                 piece = part.slice(at, 512)
                 sets = shingle_sets(piece.column("text").to_pylist())
                 ids, seen, keys, frequent = [identity(s) for s in sets], set(), [], []
-                given = []
+                given, whole, less = [], [], []
                 for i, s in zip(ids, sets):
-                    k = f = g = ()
+                    k = f = g = w = d = ()
                     if i not in seen and len(s):
                         seen.add(i)
                         if every:
                             k = np.concatenate([segments(s, b)[0] for b, _ in bands(len(s))]).view(np.int64) if len(s) >= 8 else ()
                         else:
                             k, f, g = keys_of(s, held.value)
-                            k, f = k.view(np.int64), f.view(np.int64)
+                            w, d = small_keys(s)
+                            k, f, w, d = (x.view(np.int64) for x in (k, f, w, d))
                     keys.append(k)
                     frequent.append(f)
                     given.append(g)
+                    whole.append(w)
+                    less.append(d)
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc"), piece.column("digest"), pa.array(map(len, sets), pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, longs), pa.array(frequent, longs), pa.array(given, longs)],
-                    ["doc", "digest", "n", "id", "keys", "frequent", "given"],
+                    [piece.column("doc"), piece.column("digest"), pa.array(map(len, sets), pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, longs), pa.array(frequent, longs), pa.array(given, longs), pa.array(whole, longs), pa.array(less, longs)],
+                    ["doc", "digest", "n", "id", "keys", "frequent", "given", "whole", "less"],
                 )
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return with_package(docs).mapInArrow(batches, f"doc {kind}, digest long, n long, id long, keys array<bigint>, frequent array<bigint>, given array<bigint>")
+    return with_package(docs).mapInArrow(batches, f"doc {kind}, digest long, n long, id long, keys array<bigint>, frequent array<bigint>, given array<bigint>, whole array<bigint>, less array<bigint>")
 
 
 def frequent_segments(docs: DataFrame) -> np.ndarray:
@@ -320,7 +329,10 @@ def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     # similar sets share a key; equal sets of several batches are one member
     keyed = rows.select("id", F.explode("keys").alias("key")).repartition("key").groupBy("key", "id").agg(F.lit(1).alias("one"))
     groups = keyed.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("g")).where("size(g) > 1")
-    pairs = groups.select(F.explode(F.expr("flatten(transform(g, (x, i) -> transform(slice(g, i + 2, size(g)), y -> struct(x as a, y as b))))")).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("c"))
+    pairs = groups.select(F.explode(F.expr("flatten(transform(g, (x, i) -> transform(slice(g, i + 2, size(g)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
+    small = lambda column: rows.select("id", F.explode(column).alias("key")).distinct()
+    one_more = small("less").join(small("whole").withColumnRenamed("id", "other"), "key").where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    pairs = pairs.unionByName(one_more).groupBy("a", "b").agg(F.count("*").alias("c"))
     # Of the first E segments that one or the other has, at most H differ; so linked sets share E - H keys at least,
     # E being the smaller number of keys that they gave in the band of the smaller set (one less against chance).
     size = lambda side: classes.select(F.col("id").alias(side), F.struct("n", "given").alias(f"of_{side}"))

@@ -212,6 +212,19 @@ def test_jaccard_join(spark, monkeypatch, frequent):
     assert jaccard_join.join_similar(docs_of(spark, made).limit(0)).count() == 0
 
 
+def test_jaccard_join_of_small_sets(spark, monkeypatch):
+    """A deletion key that many texts share costs a link a text at most, and all links of small sets are found."""
+    rows, written = [], jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df: rows.append((out := written(df)).count()) or out)
+    rng, base = random.Random(9), ALPHABET[:9]
+    made = [" ".join([*base[:7], f"n{i}"]) for i in range(300)] + [" ".join([*base[:8], f"n{i}"]) for i in range(200)] + [" ".join(base[:8])]
+    for _ in range(60):
+        w = rng.choices(ALPHABET, k=rng.randint(7, 14))
+        made += [" ".join(w), " ".join(w[1:]), " ".join(w[:-1]), " ".join(w[1:-1])]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join_similar(docs_of(spark, made)).collect())
+    assert got == brute_components(made) and max(rows) <= 2 * len(made)
+
+
 def test_html():
     page = """<html><head><title>t</title><script>if (a<b) "</p>"</script></head><body><header><a href=/>Home</a></header><nav><ul><li><a>x</a></ul></nav>
     <div class="cookie-notice">We use cookies.</div><article><h1>A &amp; B</h1><p>The cat   is in <b>the</b> house<p>Short.<div class="ad">Buy!</div></article>
