@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from cargolens.llm.shared import with_package
 
 BITS, PER_LANGUAGE, PIECES, PIECE, EPOCHS, SEED, CELLS = 15, 320, 3, 20, 6, 11, 64
-WORDS = re.compile(r"[^\W\d_]+")
+#: Runs of letters; longer ones (scripts or texts without spaces) are pieces of 40, each a word of the chain.
+WORDS = re.compile(r"[^\W\d_]{1,40}")
 UNKNOWN = "und"
 
 
@@ -35,7 +36,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     n-grams of 1 to 3 characters with marks at both ends, prefixes and suffixes of 3 and 4, and the word itself.
     """
-    marked = [f"^{w[:40]}$" for w in words]
+    marked = [f"^{w}$" for w in words]
     c = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     word = np.repeat(np.arange(len(marked)), sizes)
@@ -299,7 +300,7 @@ def predict_language(docs: DataFrame, field: Field, text: str = "text", keep: tu
 
 
 def word_languages(field: Field, text: str) -> list[tuple[str, str, float]]:
-    """(word, language, probability) of each word of one text."""
+    """(word, language, probability) of each word of one text; runs of over 40 letters in pieces."""
     words = WORDS.findall(text.lower())
     if not words or not field.languages:
         return []

@@ -136,6 +136,17 @@ def test_language(spark):
     assert lang_crf.predict_language(docs, lang_crf.train(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_of_long_runs(spark):
+    """A run of letters is looked at to its end: pieces of it are words of the chain."""
+    words = {"en": "the of and house with this that".split(), "fr": "le la des maison avec cette dans".split()}
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words[lang], k=30)), lang) for i, lang in enumerate(list(words) * 40)], "doc_id long, text string, lang string")
+    field = lang_crf.train(docs)
+    run = "thathousewiththis" * 3 + "maisonaveccettedans" * 30
+    assert "".join(w for w, _, _ in lang_crf.word_languages(field, run)) == run
+    assert [x[0] for x in lang_crf.Tagger(field)([run, "the house " + run])] == ["fr", "fr"]
+
+
 def test_chain_is_forward_backward():
     rng = np.random.default_rng(6)
     e, a, s = rng.normal(size=(23, 3)).astype(np.float32), rng.normal(size=(3, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32)
