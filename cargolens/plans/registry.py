@@ -65,7 +65,7 @@ def _raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _generated(spark: SparkSession, _: str) -> DataFrame:
-    made = generate.shipments(generate.carrier_rates(spark), generate.fuel_surcharges(spark), 10_000)
+    made = generate.shipments(generate.carrier_rates(spark), generate.fuel_surcharges(spark))
     return made[0].join(made[1].select("shipment_id", "is_anomaly"), "shipment_id")
 
 

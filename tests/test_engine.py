@@ -131,6 +131,12 @@ def test_generator_invariants(spark):
         generate.generate(spark, 10)
 
 
+def test_registered_generator_makes_the_default_number(spark):
+    from cargolens.plans import registry
+
+    assert registry.queries()["gen_shipments"](spark, "").count() == generate.N_SHIPMENTS == 75_000
+
+
 def test_checks(make):
     assert (quality.status("NULL x", 1), quality.status("t", 5, 5), quality.status("t", 0)) == ("WARN", "OK", "WARN")
     df = make([ship(0, 1), (None, *ship(1, 1)[1:])])
