@@ -2,22 +2,24 @@
 
 A document's set holds hashes of its distinct five-word shingles. Two sets of sizes a and b with a Jaccard
 similarity of 0.8 differ in at most H = floor((a + b) / 9) elements. Per size band the universe of hashes is cut
-into segments; where H + 1 segments are not empty in one set or the other, one of them is equal in both. So each
-set gives the contents of its first H + 1 segments as keys, and similar sets share a key.
-
-Allocation by cost. Sets of 4 to 8 elements take one segment with its one-deletion neighbourhood, as H is 1: two of
-them that are not equal are similar only if one is the other with one element more, so one-deletion keys of 5 to 8
-elements meet whole sets of one element less, never each other. A whole set is unique, so a deletion key that many
-texts share costs one link a text. Larger sets, and 8 elements with 9 and 10, take exact segments only (each costs one key, a neighbourhood one key an element), and segments that are
-frequent in the corpus, measured on a sixteenth of all texts, get no allocation: every set skips them and goes on
-to its next ones. Any choice of skipped segments keeps the join exact, because it depends on the contents alone;
-so the frequent ones are held in a bitmap of fixed size, and hits by chance do no harm. Sets with too few other
-segments (texts that consist of much-copied passages) are joined among themselves by their frequent segments.
-
-Scale: equal sets are one class from the start. Keys are the only large shuffle, about one for three words. Groups
-of a key are small, since frequent ones are skipped. Families of much-copied texts are compared block by block in
-tasks of bounded size, and give a spanning forest, never all pairs. Components are found by alternating large-star
-and small-star steps on tables in the shared folder.
+into segments of 1.5 to 3 elements of a set; two similar sets differ in at most H of them.
+
+Allocation by cost. A segment's cost is the number of sets that have the same one, counted over all texts. A set of E
+segments leaves out its E - H - 1 most expensive ones and gives the others as keys: the cheapest segment that two
+similar sets share has at most H cheaper ones in either, so both give it. Segments of one set only meet nothing;
+a set with more than H of those is similar to no other and goes no further, which is so for most texts. Sets of 4 to
+8 elements take one segment with its one-deletion neighbourhood, as H is 1: two of them that are not equal are similar
+only if one is the other with one element more, so one-deletion keys of 5 to 8 elements meet whole sets of one element
+less, never each other. A whole set is unique, so a deletion key that many texts share costs one link a text. Larger
+sets (and 8 elements with 9 and 10) get no neighbourhood: a segment costs one key, a neighbourhood one key an element.
+
+Scale: equal sets are one class from the start. The first keys are the largest shuffle, about one for two words;
+they are sorted by key and never gathered, so that a segment of a third of all texts is read in a spillable stream. A
+group of at most ``GROUP`` texts is paired. A larger one gives a star, its members with its first one, then a second
+star between those that the links found so far leave apart. What is left, groups with members that are still apart, is
+joined by ``_leftover``: elements of one member only are counted and taken off, what remains equal is one class, and
+only different classes are compared. Components are found by alternating large-star and small-star steps on tables in
+the shared folder.
 """
 
 from __future__ import annotations
@@ -27,14 +29,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cargolens.llm.shared import with_package, written
+from cargolens.llm.shared import dropped, with_package, written
 
 WIDTH = 5
-SAMPLE, FREQUENT, BITS = 16, 3, 26
-BLOCK = 1500
+GROUP, STARS, BLOCK = 8, 2, 1500
+#: Rows of ids and digests that are broadcast at most, about 100 MB in memory; more of them are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 CHUNK = 4 << 20
 KEY = np.uint64((1 << 48) - 1)
 
@@ -108,22 +111,22 @@ def identity(s: np.ndarray) -> int:
     return int(mix((s.sum(keepdims=True) ^ mix(np.array([len(s)], np.uint64))) + np.bitwise_xor.reduce(mix(s + _STEP)))[0].astype(np.int64))
 
 
-def segments(s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the non-empty segments of a set in the order of segments, for the band of sizes from 2**band to 4 * 2**band."""
-    m = np.uint64(max(64, 2 << band))
+def segments(s: np.ndarray, band: int) -> np.ndarray:
+    """Hashes of the non-empty segments of a set in the order of segments, for sizes from 2**band to 2 * 2**band."""
+    m = np.uint64(max(64, (2 << band) // 3))
     at = ((s >> np.uint64(32)) * m) >> np.uint64(32)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     content = np.add.reduceat(mix(s), first)
-    place = at[first]
-    return mix(content + place * _STEP + np.uint64(band << 40)), place
+    # fewer bits shuffle less; keys that meet by chance only give pairs that do not verify
+    return mix(content + at[first] * _STEP + np.uint64(band << 40)) & KEY
 
 
 def bands(n: int) -> list[tuple[int, int]]:
     """(band, H) in which a set of n > 7 elements gives keys: its own, and the one below where partners may lie there."""
-    own = (n.bit_length() - 1 - 3) // 2 * 2 + 3
-    found = [(own, n // 4)]
+    own = n.bit_length() - 1
+    found = [(own, min(n // 4, (n + (2 << own) - 1) // 9))]
     if own > 3 and -(-4 * n // 5) < 1 << own:
-        found.append((own - 2, 2 * n // 9))
+        found.append((own - 1, (n + (1 << own) - 1) // 9))
     return found
 
 
@@ -135,84 +138,74 @@ def small_keys(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (mix(whole * two + np.uint64(n)) if 4 <= n <= 7 else none), (mix((whole - mixed) * two + np.uint64(n - 1)) if 5 <= n <= 8 else none)
 
 
-def keys_of(s: np.ndarray, skipped: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Keys of a set by segments; where it has too few segments that are not skipped, its keys among frequent segments; numbers of keys of its bands."""
-    n, none = len(s), np.zeros(0, np.uint64)
-    keys, frequent, given = [], [], []
-    if n >= 8:
-        for band, h in bands(n):
-            at, _ = segments(s, band)
-            skip = np.zeros(len(at), bool) if skipped is None else (skipped[at >> np.uint64(64 - BITS + 3)] >> ((at >> np.uint64(64 - BITS)) & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            rest = at[~skip]
-            keys.append(rest[: h + 1])
-            given.append(len(keys[-1]))
-            if len(rest) <= h:
-                # in the order of others first, then frequent ones, the first H + 1 do again
-                frequent.append(mix(at[skip][: h + 1 - len(rest)] + np.uint64(3)))
-                if len(at) <= h:
-                    frequent.append(mix(np.array([band], np.uint64) + np.uint64(5)))
-    # fewer bits shuffle less; keys that meet by chance only give pairs that do not verify
-    return np.concatenate([none, *keys]) & KEY, np.concatenate([none, *frequent]) & KEY, given
+def keys_of(s: np.ndarray, band: int, h: int) -> tuple[np.ndarray, int]:
+    """All segments of a set in a band, and how many of them it may leave out."""
+    keys = segments(s, band)
+    if len(keys) <= h:
+        # sets of so few segments may be similar without a common one; they meet here
+        keys = np.append(keys, mix(np.array([band], np.uint64) + np.uint64(5)) & KEY)
+    return keys, max(0, len(keys) - h - 1)
+
+
+def _chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for part in parts:
+        for at in range(0, max(1, len(part)), 512):
+            piece = part.slice(at, 512)
+            yield piece, shingle_sets(piece.column("text").to_pylist())
+
+
+LONGS = pa.list_(pa.int64())
 
 
-def _keyed(docs: DataFrame, skipped: np.ndarray | None, every: bool) -> DataFrame:
-    """doc, digest, n, id, keys, frequent, given, whole, less of each row; ``every``: all segments instead of keys. Keys once for equal sets of a batch."""
-    held = docs.sparkSession.sparkContext.broadcast(skipped)
+def _identified(docs: DataFrame) -> DataFrame:
+    """doc, digest, n, id, whole, less of each row."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            texts = part.column("text")
-            for at in range(0, max(1, len(texts)), 512):
-                piece = part.slice(at, 512)
-                sets = shingle_sets(piece.column("text").to_pylist())
-                ids, seen, keys, frequent = [identity(s) for s in sets], set(), [], []
-                given, whole, less = [], [], []
-                for i, s in zip(ids, sets):
-                    k = f = g = w = d = ()
-                    if i not in seen and len(s):
-                        seen.add(i)
-                        if every:
-                            k = np.concatenate([segments(s, b)[0] for b, _ in bands(len(s))]).view(np.int64) if len(s) >= 8 else ()
-                        else:
-                            k, f, g = keys_of(s, held.value)
-                            w, d = small_keys(s)
-                            k, f, w, d = (x.view(np.int64) for x in (k, f, w, d))
-                    keys.append(k)
-                    frequent.append(f)
-                    given.append(g)
-                    whole.append(w)
-                    less.append(d)
-                longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc"), piece.column("digest"), pa.array(map(len, sets), pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, longs), pa.array(frequent, longs), pa.array(given, longs), pa.array(whole, longs), pa.array(less, longs)],
-                    ["doc", "digest", "n", "id", "keys", "frequent", "given", "whole", "less"],
-                )
-
-    kind = docs.schema["doc"].dataType.simpleString()
-    return with_package(docs).mapInArrow(batches, f"doc {kind}, digest long, n long, id long, keys array<bigint>, frequent array<bigint>, given array<bigint>, whole array<bigint>, less array<bigint>")
-
-
-def frequent_segments(docs: DataFrame) -> np.ndarray:
-    """Bitmap of ``2**BITS`` bits: hashes of segments that at least FREQUENT different sets of the sampled texts share."""
-    sample = _keyed(docs.where(F.expr(f"pmod(xxhash64(digest), {SAMPLE}) = 0")), None, True)
-    seen = sample.select("id", F.explode("keys").alias("key")).distinct().groupBy("key").count().where(F.col("count") >= FREQUENT)
-    bits = seen.select(F.shiftrightunsigned("key", 64 - BITS).alias("bit")).select(F.expr("bit div 32768").alias("chunk"), F.expr("bit % 32768").alias("bit"))
-
-    def packed(rows: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(4096, np.uint8)
-        at = rows["bit"].to_numpy()
-        np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "bytes": [out.tobytes()]})
-
-    out = np.zeros(1 << (BITS - 3), np.uint8)  # at most 2048 chunks of 4 KB
-    for r in bits.groupBy("chunk").applyInPandas(packed, "chunk long, bytes binary").collect():
-        out[r.chunk * 4096 : (r.chunk + 1) * 4096] = np.frombuffer(r.bytes, np.uint8)
-    return out
+        for piece, sets in _chunks(parts):
+            small = [[x.view(np.int64) for x in small_keys(s)] for s in sets]
+            columns = [pa.array(map(len, sets), pa.int64()), pa.array(map(identity, sets), pa.int64()), *(pa.array([x[i] for x in small], LONGS) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays([piece.column("doc"), piece.column("digest"), *columns], ["doc", "digest", "n", "id", "whole", "less"])
+
+    return with_package(docs).mapInArrow(batches, f"doc {docs.schema['doc'].dataType.simpleString()}, digest long, n long, id long, whole array<bigint>, less array<bigint>")
+
+
+def _segmented(docs: DataFrame) -> DataFrame:
+    """id, tag (how many keys may be left out, times 64, plus the band) and keys of sets of over 7 elements; equal sets of a task once."""
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for _, sets in _chunks(parts):
+            ids, tags, keys = [], [], []
+            for s in sets:
+                if len(s) < 8 or (i := identity(s)) in seen:
+                    continue
+                seen.add(i)
+                for band, h in bands(len(s)):
+                    k, spare = keys_of(s, band, h)
+                    ids.append(i)
+                    tags.append(spare * 64 + band)
+                    keys.append(k.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(keys, LONGS)], ["id", "tag", "keys"])
+
+    return with_package(docs.select("text")).mapInArrow(batches, "id long, tag long, keys array<bigint>")
+
+
+def _probes(docs: DataFrame) -> DataFrame:
+    """(id, key, df): the segments that sets do not leave out, as far as several sets have them; df is their cost."""
+    keys = _segmented(docs).select("id", "tag", F.explode("keys").alias("key")).repartition("key")
+    sharing = Window.partitionBy("key")
+    shared = keys.select("id", "tag", "key", F.count("*").over(sharing).alias("df"), F.min("id").over(sharing).alias("low"), F.max("id").over(sharing).alias("high")).where("low <> high")
+    # equal sets of several tasks repeat their keys, which ranks do not count
+    rank = F.dense_rank().over(Window.partitionBy("id", "tag").orderBy(F.desc("df"), F.desc("key")))
+    return shared.select("id", "tag", "key", "df").withColumn("rank", rank).where("rank > tag div 64").select("id", "tag", "key", "df").distinct().select("id", "key", "df")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, n, short, set) of the sets ``wanted`` (id, doc, digest), read from one text each."""
-    texts = docs.join(wanted.select("id", F.col("doc").alias("d"), F.col("digest").alias("g")), (F.col("digest") == F.col("g")) & F.col("doc").eqNullSafe(F.col("d"))).dropDuplicates(["id"]).select("id", "text")
+    wanted = wanted.select("id", F.col("doc").alias("d"), F.col("digest").alias("g"))
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    texts = docs.join(wanted, (F.col("digest") == F.col("g")) & F.col("doc").eqNullSafe(F.col("d"))).select("id", "text")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -249,49 +242,78 @@ def _linked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def forest(sets: list[np.ndarray], ids: np.ndarray, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Spanning forest of the links among sets (between the two sides, where given). Bounded by the caller's block size."""
-    n = len(sets)
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
-    _, token, count = np.unique(flat, return_inverse=True, return_counts=True)
-    common = np.zeros((n, n), np.float32)
-    many = count[token] > 1
-    token, owner = token[many], owner[many]
-    token = np.unique(token, return_inverse=True)[1]
+def _unpacked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        elements = [np.frombuffer(x, np.int64) for x in part.column("set").to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(elements, LONGS)], ["id", "elements"])
+
+
+def apart(cores: list[np.ndarray]) -> np.ndarray:
+    """Number of elements in which each two of the sets differ; at most 2 * ``BLOCK`` sets."""
+    n, size = len(cores), np.array([len(c) for c in cores], np.int64)
+    token = np.unique(np.concatenate(cores), return_inverse=True)[1]
+    owner = np.repeat(np.arange(n), size)
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
-    for low in range(0, int(token[-1]) + 1 if len(token) else 0, 2048):
+    common = np.zeros((n, n), np.float32)
+    for low in range(0, int(token[-1]) + 1, 2048):
         a, b = np.searchsorted(token, [low, low + 2048])
         part = np.zeros((n, 2048), np.float32)
         part[owner[a:b], token[a:b] - low] = 1
         common += part @ part.T
-    size = np.array([len(s) for s in sets], np.float32)
-    root = np.arange(n)
-    edges = []
-    for i in range(n):
-        near = np.flatnonzero(100 * common[i] >= 80 * (size[i] + size - common[i]))
-        near = near[near < i]
+    return size[:, None] + size - 2 * common.astype(np.int64)
+
+
+def _nearest_class(rows: pd.DataFrame) -> pd.DataFrame:
+    """Per class (id of its first member, u, core): links to other classes' first members, and the one that links most.
+
+    A member of class i with u elements of its own links to the first member of class j where u <= most.
+    """
+    rows = rows.drop_duplicates("id")
+    ids, u, cores = rows["id"].to_numpy(), rows["u"].to_numpy(), [np.asarray(c, np.int64) for c in rows["core"]]
+    k, d, found = np.array([len(c) for c in cores], np.int64), apart(cores), []
+    root = np.arange(len(ids))
+    for i in range(len(ids)):
+        most = (k[i] + k - 9 * d[i]) // 8 - u
+        most[i] = -1
+        j = int(most.argmax())
+        if most[j] >= u[i]:
+            found.append((ids[i], ids[j], most[j], True))
+        near = np.flatnonzero(most >= u[i])
         for j in near[root[near] != root[i]]:
             if root[j] != root[i]:
-                edges.append((int(ids[i]), int(ids[j])))
+                found.append((ids[i], ids[j], most[j], False))
                 root[root == root[j]] = root[i]
-    return edges
+    return pd.DataFrame(found, columns=["a", "b", "most", "best"]).astype({"a": "int64", "b": "int64", "most": "int64", "best": bool})
 
 
-def _families(members: DataFrame) -> DataFrame:
-    """Links (a, b) of a spanning forest within each family; ``members``: key, id, set."""
-    weight = members.groupBy("id").agg(F.count("*").alias("w"))
-    centres = members.join(weight, "id").groupBy("key").agg(F.max(F.struct("w", "id")).alias("c")).select("key", F.col("c.id").alias("centre"))
-    family = members.select("key", "id").join(centres, "key").select("centre", "id").distinct()
-    sizes = family.groupBy("centre").agg(F.count("*").alias("k")).where("k > 1")
-    placed = family.join(sizes, "centre").withColumn("blocks", F.ceil(F.col("k") / BLOCK)).withColumn("block", F.expr("pmod(xxhash64(id), blocks)"))
-    pairs = placed.select("centre", "id", F.explode(F.expr("transform(sequence(0, blocks - 1), o -> struct(least(o, block) as low, greatest(o, block) as high))")).alias("p"))
-    return pairs.select("centre", "p.low", "p.high", "id")
+def _leftover(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all linked sets that have a key of ``members`` (key, id) in common.
 
-
-def _forest_of(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.drop_duplicates("id")
-    return pd.DataFrame(forest([np.frombuffer(x, np.uint64) for x in rows["set"]], rows["id"].to_numpy()), columns=["a", "b"]).astype("int64")
+    u counts the elements of a set that no other member has, its core is the rest. With cores that differ in d elements,
+    two sets link where 8 (u + u') + 9 d <= |core| + |core'|. So of the sets of one core the one of the smallest u has
+    all links that another has; each other one needs one link at most, to it or to that of another core.
+    """
+    ids = members.select("id").distinct()
+    flat = with_package(sets.join(ids, "id").select("id", "set")).mapInArrow(_unpacked, "id long, elements array<bigint>").select("id", F.size("elements").alias("n"), F.explode("elements").alias("e"))
+    common = flat.groupBy("e").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("e")
+    gathered = flat.join(common, "e", "left_semi").groupBy("id").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("e")).alias("core"))
+    cores = written(gathered.select("id", (F.col("n") - F.size("core")).alias("u"), "core", F.size("core").alias("k"), F.xxhash64("core").alias("c1"), F.xxhash64(F.lit(1), "core").alias("c2")))
+    first = cores.groupBy("c1", "c2").agg(F.min(F.struct("u", "id")).alias("first")).select("c1", "c2", F.col("first.u").alias("least"), F.col("first.id").alias("first"))
+    of_class = written(cores.select("id", "u", "k", "c1", "c2").join(first, ["c1", "c2"]))
+    inside = of_class.where("id <> first and 8 * (u + least) <= 2 * k").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    keyed = members.join(of_class.select("id", "first"), "id").select("key", F.col("first").alias("id")).distinct()
+    weight = keyed.groupBy("id").agg(F.count("*").alias("w"))
+    centres = keyed.join(weight, "id").groupBy("key").agg(F.max(F.struct("w", "id")).alias("c")).select("key", F.col("c.id").alias("centre"))
+    family = keyed.join(centres, "key").select("centre", "id").distinct()
+    sizes = family.groupBy("centre").agg(F.count("*").alias("many")).where("many > 1")
+    placed = family.join(sizes, "centre").withColumn("blocks", F.ceil(F.col("many") / BLOCK)).withColumn("block", F.expr("pmod(xxhash64(id), blocks)"))
+    pairs = placed.select("centre", "id", F.explode(F.expr("transform(sequence(0, blocks - 1), o -> struct(least(o, block) as low, greatest(o, block) as high))")).alias("p"))
+    blocks = pairs.select("centre", "p.low", "p.high", "id").join(cores.select("id", "u", "core"), "id")
+    across = written(with_package(blocks).groupBy("centre", "low", "high").applyInPandas(_nearest_class, "a long, b long, most long, best boolean"))
+    best = across.where("best").groupBy("a").agg(F.max(F.struct("most", "b")).alias("x")).select(F.col("a").alias("first"), "x.most", "x.b")
+    outside = of_class.where("id <> first and 8 * (u + least) > 2 * k").join(best, "first").where("u <= most").select(F.col("id").alias("a"), "b")
+    return inside.unionByName(across.select("a", "b")).unionByName(outside)
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
@@ -304,7 +326,8 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = written(small)
+        before, edges = edges, written(small)
+        dropped(before)
         now = tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
         if now == state:
             break
@@ -314,6 +337,40 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+class _Links:
+    """Components of the sets by the links that are verified so far."""
+
+    def __init__(self, sets: DataFrame):
+        self.sets, self.roots = sets, None
+
+    def _sides(self, pairs: DataFrame, column: str) -> DataFrame:
+        side = lambda name, value, n: self.sets.select(F.col("id").alias(name), F.col(column).alias(value), F.col("n").alias(n))
+        return pairs.join(side("a", "x", "m"), "a").join(side("b", "y", "n"), "b")
+
+    def rooted(self, df: DataFrame, column: str = "id", name: str = "root") -> DataFrame:
+        """``df`` with the component of a column."""
+        if self.roots is None:
+            return df.withColumn(name, F.col(column))
+        roots = self.roots.select(F.col("node").alias(column), F.col("root").alias(f"__{name}"))
+        return df.join(roots, column, "left").withColumn(name, F.coalesce(f"__{name}", column)).drop(f"__{name}")
+
+    def merge(self, links: DataFrame) -> None:
+        if self.roots is not None:
+            links = links.unionByName(self.roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        self.roots = components(links)
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Whole sets are shipped for one pair a set first; then for the pairs whose ends have not met yet, so that a group
+        of copies costs its size, not its square."""
+        possible = written(with_package(self._sides(pairs, "short")).mapInArrow(_possible, "a long, b long"))
+        linked = lambda p: with_package(self._sides(p, "set")).mapInArrow(_linked, "a long, b long")
+        self.merge(linked(possible.groupBy("b").agg(F.min("a").alias("a"))))
+        rest = written(self.rooted(self.rooted(possible, "a", "root_a"), "b", "root_b").where("root_a <> root_b").select("a", "b"))
+        if not rest.isEmpty():
+            self.merge(linked(rest))
+        dropped(possible, rest)
+
+
 def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id that links lead to, its own included).
 
@@ -321,38 +378,44 @@ def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     link where the Jaccard similarity of their sets is at least 0.8; texts with the same set are linked. A text that
     is null or has no words has no shingles and links to nothing: its component is its own doc_id. Rows that share a
     doc_id count as separate documents; a null doc_id is never the smallest, unless it is the only one of its component.
+    Other columns are not read. Very long texts are taken whole; a set's elements are held by one task at a time.
     """
     base = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = written(_keyed(base, frequent_segments(base), False))
-    classes = rows.where("n > 0").groupBy("id").agg(F.min("n").alias("n"), F.min("doc").alias("least"), F.min(F.struct("doc", "digest")).alias("at"), F.max("given").alias("given"))
-    classes = written(classes.select("id", "n", "least", "at.doc", "at.digest", "given"))
-    # similar sets share a key; equal sets of several batches are one member
-    keyed = rows.select("id", F.explode("keys").alias("key")).repartition("key").groupBy("key", "id").agg(F.lit(1).alias("one"))
-    groups = keyed.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("g")).where("size(g) > 1")
+    rows = written(_identified(base))
+    classes = rows.where("n > 0").groupBy("id").agg(F.min("doc").alias("least"), F.min(F.struct("doc", "digest")).alias("at"))
+    classes = written(classes.select("id", "least", "at.doc", "at.digest"))
+    probes = written(_probes(base))
+    groups = probes.where(F.col("df") <= GROUP).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("g")).where("size(g) > 1")
     pairs = groups.select(F.explode(F.expr("flatten(transform(g, (x, i) -> transform(slice(g, i + 2, size(g)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
+    large = probes.where(F.col("df") > GROUP).select("key", "id")
+    centres = large.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
+    stars = large.join(centres, "key").where("id <> a").select("a", F.col("id").alias("b"))
     small = lambda column: rows.select("id", F.explode(column).alias("key")).distinct()
     one_more = small("less").join(small("whole").withColumnRenamed("id", "other"), "key").where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-    pairs = pairs.unionByName(one_more).groupBy("a", "b").agg(F.count("*").alias("c"))
-    # Of the first E segments that one or the other has, at most H differ; so linked sets share E - H keys at least,
-    # E being the smaller number of keys that they gave in the band of the smaller set (one less against chance).
-    size = lambda side: classes.select(F.col("id").alias(side), F.struct("n", "given").alias(f"of_{side}"))
-    sized = pairs.join(size("a"), "a").join(size("b"), "b").select("a", "b", "c", F.least("of_a", "of_b").alias("r"), F.greatest("of_a", "of_b").alias("s"))
-    band = lambda c: f"floor((length(bin({c})) - 4) / 2)"
-    shared = f"least(get(r.given, 0), get(s.given, if({band('r.n')} = {band('s.n')}, 0, 1))) - floor((r.n + s.n) / 9) - 1"
-    pairs = written(sized.where("5 * r.n >= 4 * s.n").where(f"s.n <= 8 or r.n < 8 or c >= coalesce({shared}, 1)").select("a", "b"))
-    members = written(rows.select("id", F.explode("frequent").alias("key")).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.select("id")).distinct()
+    pairs = written(pairs.unionByName(stars).unionByName(one_more).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = written(_sets_of(base, classes.join(wanted, "id", "left_semi")))
-    sides = lambda p, column: p.join(sets.select(F.col("id").alias("a"), F.col(column).alias("x"), F.col("n").alias("m")), "a").join(sets.select(F.col("id").alias("b"), F.col(column).alias("y"), "n"), "b")
-    possible = written(with_package(sides(pairs, "short")).mapInArrow(_possible, "a long, b long"))
-    linked = lambda p: with_package(sides(p, "set")).mapInArrow(_linked, "a long, b long")
-    families = _families(members).join(sets.select("id", "set"), "id").groupBy("centre", "low", "high").applyInPandas(_forest_of, "a long, b long")
-    # Whole sets are shipped for one pair a set first; then for the pairs whose ends have not met yet, so that a group
-    # of copies costs its size, not its square.
-    roots = components(linked(possible.groupBy("b").agg(F.min("a").alias("a"))).unionByName(families))
-    root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-    apart = possible.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
-    roots = components(linked(apart).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    least = classes.select("id", "least").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "least")
+    links = _Links(sets)
+    links.verify(pairs)
+    dropped(pairs)
+
+    def mixed() -> DataFrame:
+        """key, id, root, first: members of large groups that are still apart, and one root of each group."""
+        placed = links.rooted(large)
+        several = placed.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last")
+        return written(placed.join(several, "key"))
+
+    left = mixed()
+    for _ in range(STARS - 1):
+        if left.isEmpty():
+            break
+        second = left.where("root = last").groupBy("key").agg(F.min("id").alias("c"))
+        links.verify(left.join(second, "key").where("root <> last").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct())
+        dropped(left)
+        left = mixed()
+    if not left.isEmpty():
+        links.merge(_leftover(left.select("key", "id"), sets))
+    dropped(probes, left, sets)
+    least = links.rooted(classes.select("id", "least"))
     named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("id", "component_id")
     return rows.select("doc", "n", F.when(F.col("n") > 0, F.col("id")).alias("id")).join(named, "id", "left").select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))

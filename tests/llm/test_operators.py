@@ -205,11 +205,11 @@ def brute_components(made):
     return [(i, len(s), find(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("frequent", [3, 1])
-def test_jaccard_join(spark, monkeypatch, frequent):
-    """Also with nearly all segments frequent, so that families do the work."""
-    monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
-    monkeypatch.setattr(jaccard_join, "SAMPLE", 16 if frequent > 1 else 1)
+@pytest.mark.parametrize(("group", "stars"), [(8, 2), (1, 2), (1, 1)])
+def test_jaccard_join(spark, monkeypatch, group, stars):
+    """Also with all groups as stars, and with what one star leaves apart joined by cores, in many blocks."""
+    monkeypatch.setattr(jaccard_join, "GROUP", group)
+    monkeypatch.setattr(jaccard_join, "STARS", stars)
     monkeypatch.setattr(jaccard_join, "BLOCK", 20)
     rng, made = random.Random(8), texts(8, 80)
     base = rng.choices(ALPHABET, k=150)
@@ -236,6 +236,19 @@ def test_jaccard_join_of_small_sets(spark, monkeypatch):
     assert got == brute_components(made) and max(rows) <= 2 * len(made)
 
 
+@pytest.mark.parametrize("words", [(12, 1), (15, 2), (30, 2)])
+def test_jaccard_join_of_a_template(spark, monkeypatch, words):
+    """Many texts that differ in their last words only, linked or not: rows of every step are linear in the texts."""
+    rows, written = [], jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df: rows.append((out := written(df)).count()) or out)
+    same, own = words
+    made = [" ".join(ALPHABET[:same] + [f"n{i}x{k}" for k in range(own)]) for i in range(2000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_similar(docs_of(spark, made)).collect()}
+    n, common = same + own - 4, same - 4
+    linked = 100 * common >= 80 * (2 * n - common)
+    assert got == {i: (n, 0 if linked else i) for i in range(2000)} and max(rows) <= 2000 * (n + 4)
+
+
 def test_html():
     page = """<html><head><title>t</title><script>if (a<b) "</p>"</script></head><body><header><a href=/>Home</a></header><nav><ul><li><a>x</a></ul></nav>
     <div class="cookie-notice">We use cookies.</div><article><h1>A &amp; B</h1><p>The cat   is in <b>the</b> house<p>Short.<div class="ad">Buy!</div></article>
