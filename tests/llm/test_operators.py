@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cargolens.llm import ann_srs, decontaminate, html_blocks, jaccard_join, lang_crf, line_dedup, quality_fm, secret_scan, source_mix, url_filter
 
@@ -166,22 +167,54 @@ def test_chain_is_forward_backward():
         assert got[low:high] == pytest.approx(total / total.sum(1, keepdims=True), abs=1e-4)
 
 
-def test_nearest(spark):
-    rng = np.random.default_rng(7)
-    v = rng.normal(size=(600, 16))
-    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (None, [1.0] * 16), (5, v[5].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+def exact_nearest(ids, v, q, k=10):
+    d = np.sqrt(((v - v[q]) ** 2).sum(1))
+    return [(ids[i], d[i]) for i in np.lexsort((ids, d)) if ids[i] != ids[q]][:k]
+
+
+def found_by(df):
     got = {}
-    for r in ann_srs.nearest(df, df.where("vec_id % 20 = 0"), shard=250, block=10).orderBy("query_id", "rank").collect():
+    for r in df.orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert r.rank == len(got[r.query_id])
+    return got
+
+
+@pytest.mark.parametrize(("shard", "block"), [(8000, 8000), (250, 10)])
+def test_nearest(spark, shard, block):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(600, 16))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (None, [1.0] * 16), (5, v[5].tolist()), (1003, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x")).withColumn("cell", F.lit(1))
+    got = found_by(ann_srs.nearest(df, df.where("vec_id % 20 = 0"), shard=shard, block=block))
     hits = 0
     for q, found in got.items():
-        d = np.sqrt(((v - v[q]) ** 2).sum(1))
-        exact = [i for i in np.lexsort((np.arange(600), d)) if i != q][:10]
-        hits += len({i for i, _ in found} & set(exact))
-        assert len(found) == 10 and all(s == pytest.approx(d[i]) for i, s in found)
+        exact = exact_nearest(np.arange(600), v, q)
+        hits += len({i for i, _ in found} & {i for i, _ in exact})
+        assert len(found) == 10 and all(s == pytest.approx(np.sqrt(((v[i] - v[q]) ** 2).sum())) for i, s in found)
     assert len(got) == 30 and hits / 300 >= 0.9
-    assert ann_srs.nearest(df.limit(3), df.where("vec_id = 0")).count() == 2
+
+
+def test_nearest_of_few_and_equal(spark):
+    """Fewer candidates than k, several numbers of components, ties, a vector that fills most of the index, and none at all."""
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(300)] + [(i, [float(i), 1.0, 0.0]) for i in range(300, 400)] + [(900, [1.0, 1.0]), (901, [1.0, 2.0]), (902, [5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found_by(ann_srs.nearest(df, df.where("vec_id in (7, 350, 900, 902)"), shard=50, block=1))
+    assert got[7] == [(i, 0.0) for i in range(11) if i != 7] and [i for i, _ in got[350][:4]] == [349, 351, 348, 352] and got[900] == [(901, 1.0)] and 902 not in got
+    assert ann_srs.nearest(df.limit(0), df).count() == ann_srs.nearest(df, df.limit(0)).count() == 0
+
+
+def test_nearest_stops_early(spark):
+    """The test ends most searches: on clustered vectors few are verified, with all neighbours of the cluster found."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 48)) * 4
+    v = (centres[np.arange(4000) % 40] + rng.normal(size=(4000, 48)) * 0.3).astype(float)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 100 = 0")
+    got = found_by(ann_srs.nearest(df, asked, shard=500))
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in exact_nearest(np.arange(4000), v, q)}) for q in range(0, 4000, 100))
+    assert hits / 400 >= 0.9
+    assert ann_srs.nearest(df, asked, shard=500, verified=True).first().n_verified < 0.1 * 40 * 4000
 
 
 def brute_components(made):
