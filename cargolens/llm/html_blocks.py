@@ -1,7 +1,7 @@
 """HTML extraction: two-pass block rules.
 
 A page is cut into blocks at its block elements. The first pass classifies each block without its neighbours: by
-the element that holds it (menus, forms and what a class, id or role names as such are out), by link density, by
+the element that holds it (menus, forms and containers whose class or role names them as such are out), by link density, by
 length and by the density of stop words. Short blocks and blocks with few stop words stay ambiguous. In the second
 pass an ambiguous block takes the label of the nearest decided block.
 
@@ -28,17 +28,28 @@ from cargolens.llm.shared import with_package
 SHORT, LONG, LINKS, FEW, MANY = 70, 200, 0.4, 0.15, 0.28
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 LOOSE = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*)>")
-NAMES = re.compile(r"\b(?:class|id|role|aria-label|hidden|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 # Elements and stop words.
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 RAW = set("script style noscript template iframe textarea svg math object noembed noframes title head".split())
 OUT = set("nav footer aside form menu select button dialog fieldset option label datalist".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-HINT = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|advertisement|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side-?bar|aside|footer|foot|masthead|topbar|site-?header|page-?header|header|comments?\w*|disqus|replies|respond|cookies?\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscribe|signup|sign-?up|login|share\w*|sharing|social\w*|related|recommend\w*|trending|widget\w*|toolbar|pagination|pager|skip-?link|search|legal|copyright|disclaimer|complementary|contentinfo|navigation|dialog)(?![a-z])"
+# Elements that a class, a role or an id may mark, and the words that mark.
+CONTAINER = set("div section aside ul ol dl table tbody header footer nav form details figure center menu dir main article".split())
+MARKS = set(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion promotions banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside footer foot "
+    "comment comments disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
+    "recommendations trending widget widgets toolbar pagination pager skip search legal copyright disclaimer complementary contentinfo dialog".split()
 )
-GOOD_HINT = re.compile(r"(?:^|[^a-z])(?:article\w*|post-?(?:body|content)|entry-?content|main(?:-?content)?|content|story|body-?text)(?![a-z])")
+#: These mark what is outside of an article only.
+OUTER = set("header masthead topbar".split())
+#: What may stand beside a marking word in a name, so that other words make it the name of a subject.
+BESIDE = set(
+    "site page main top bottom left right global primary secondary user users reader readers post posts article articles story stories container wrapper wrap box list section area block bar link links "
+    "button buttons inner outer unit slot form item items text content body panel row col column group in up side sign to more header footer".split()
+)
+ARTICLE = set("article post content main story article-body article-content article-text post-body post-content entry-content main-content story-body body-text".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 STOP = frozenset(
     "the of and to a in that is was for on with as are this be at or by from it an not have has had his her they we you i he she which will their its but were been one all would there what when who if more no so out up can do into "
@@ -49,6 +60,33 @@ STOP = frozenset(
 WORDS = re.compile(r"[^\W\d_]+")
 
 
+def _marked(names: list[str], marks: set[str]) -> bool:
+    """Whether a name is made of a marking word and at most words that go with it: cookie-notice, but not legal-history."""
+    for name in names:
+        parts = [p for p in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower().replace("_", "-").split("-") if p and not p.isdigit()]
+        if any(p in marks for p in parts) and all(p in marks or p in BESIDE for p in parts):
+            return True
+    return False
+
+
+def _role(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """(out, inside) that an element's own name and attributes say; ``inside``: it stands in an article.
+
+    Classes and roles mark containers only, and by whole names; an id only if it is a marking word as it stands.
+    """
+    said = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
+    hidden = "hidden" in said or bool(HIDDEN.search(said.get("style", "").lower()))
+    if name not in CONTAINER:
+        return hidden or name in OUT, False
+    names = [*said.get("class", "").split(), *said.get("role", "").split()]
+    whole = said.get("id", "").lower()
+    if name in ("article", "main"):
+        return hidden or _marked(names, {"comment", "comments", "reply", "replies", "ad", "ads", "advert"}), True
+    marks = MARKS if inside else MARKS | OUTER
+    out = hidden or name in OUT or (name == "header" and not inside) or whole in marks or _marked(names, marks)
+    return out, not out and any(n.lower().replace("_", "-") in ARTICLE for n in [*names, whole])
+
+
 class _Block:
     __slots__ = ("heading", "inside", "links", "out", "parts")
 
@@ -60,6 +98,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     """(text, link density, in an element that is out, in an article, heading) of each block with text, in order."""
     found: list[_Block] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # element, out, inside, heading
+    opened: dict[str, int] = {}  # how many of an element are on the stack, so that stray ends need no search
     now: _Block | None = None
     in_link, at, skip, breaks = 0, 0, "", 0
 
@@ -121,19 +160,19 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
         if name in VOID:
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
+            while opened.get(name):
+                top = stack.pop()[0]
+                opened[top] -= 1
+                if top == name:
                     break
             continue
         while stack and stack[-1][0] in SELF_CLOSING.get(name, ()):
-            stack.pop()
+            opened[stack.pop()[0]] -= 1
         top = stack[-1] if stack else ("", False, False, False)
-        said = " ".join(v.strip("\"'").lower() for v in NAMES.findall(attributes))
-        hinted = bool(HINT.search(said) or HIDDEN.search(said) or re.search(r"\shidden(?:\s|$|=)", attributes)) and not (name in ("article", "main", "body", "html") and not re.search("comment|repl|ad(?![a-z])", said))
-        out = top[1] or name in OUT or hinted or (name == "header" and not top[2])
-        inside = (top[2] or name in ("article", "main") or bool(said and GOOD_HINT.search(said))) and not out
-        stack.append((name, out, inside, name[0] == "h" and name[1:].isdigit()))
+        marked, article = _role(name, attributes, top[2])
+        out = top[1] or marked
+        stack.append((name, out, (top[2] or article) and not out, name[0] == "h" and name[1:].isdigit()))
+        opened[name] = opened.get(name, 0) + 1
     result = []
     for b in found:
         text = " ".join("".join(b.parts).split())
@@ -193,8 +232,10 @@ def extract(page: str | None) -> str:
 def extract_main_text(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Per row: the columns ``keep``, text (main text, blocks joined by a line feed) and n_chars (code points).
 
-    A null or an empty page gives an empty text. Equal rows stay as many rows; broken markup is read as far as it
-    goes (unclosed elements end with the page). Columns of the input other than ``keep`` are not read.
+    A null or an empty page gives an empty text, an empty table no rows. Equal rows stay as many rows; broken markup is
+    read as far as it goes (unclosed elements end with the page). Columns of the input other than ``keep`` are not read;
+    columns in ``keep`` that are named text or n_chars give way to the results. Long pages are read whole, in time
+    linear in their length.
     """
     read = pages.select(*[F.col(f"`{c}`") for c in keep if c not in ("text", "n_chars")], F.col(f"`{page}`").alias("__page"))
     kept = [f.name for f in read.schema if f.name != "__page"]
