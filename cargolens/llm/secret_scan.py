@@ -32,8 +32,9 @@ MIN_ASSIGN, MIN_ACCESS = 12, 18
 
 #: Words that make a context sensitive, within REACH code points before a candidate.
 CONTEXT = re.compile(r"(?i:passw|secret|token|api.?key|credential|private|bearer|auth|access.?key|signature|client.?id|pwd)")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.-]{16,}")
-REACH, NOVEL = 48, 0.6
+CANDIDATE, LEAST = re.compile(r"[A-Za-z0-9+/_=~.-]{16,}"), 16
+#: A candidate starts within REACH code points behind its context; AROUND code points on each side are its surroundings.
+REACH, AROUND, NOVEL = 48, 512, 0.6
 #: What code and identifiers look like; primes the compressor.
 DICTIONARY = (
     "import os from pathlib return self.client = Client(config) def get_user(request, response): if not found: raise ValueError "
@@ -70,18 +71,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], compressor: zstandard.ZstdCompressor) -> list[tuple[int, int, int]]:
     """Candidates in sensitive context that no base span meets and that do not compress."""
-    found, done = [], 0
+    found, done, met, reach = [], 0, 0, 0  # reach: where the base spans that start so far end
     for hint in CONTEXT.finditer(text):
-        at = max(hint.end(), done)
-        for m in CANDIDATE.finditer(text, at):
-            if m.start() - hint.end() > REACH:
-                break
-            done = m.end()
-            s = m.group()
+        last = hint.end() + REACH
+        # a run that starts in reach is seen by its first characters, then read to its end
+        while m := CANDIDATE.search(text, max(hint.end(), done), max(hint.end(), done, last + LEAST)):
+            m = CANDIDATE.match(text, m.start())
+            done, s = m.end(), m.group()
+            while met < len(base) and base[met][0] < m.end():
+                reach, met = max(reach, base[met][2]), met + 1
             kinds = any(c.isdigit() for c in s) + any(c.islower() for c in s) + any(c.isupper() for c in s)
-            if kinds < 2 or any(b < m.end() and m.start() < e for b, _, e in base):
+            if kinds < 2 or reach > m.start():
                 continue
-            around = text[max(0, m.start() - 512) : m.start()] + text[m.end() : m.end() + 512]
+            around = text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]
             if novelty(around.encode("utf-8", "replace"), s.encode(), compressor) >= NOVEL:
                 found.append((m.start(), 3, m.end()))
     return found
@@ -100,9 +102,14 @@ def scan_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     """Per row: the columns ``keep``, then n_assign, n_access, n_hex, n_novel, base_sha256 and spans.
 
     Spans are of whole matches, in code points, end exclusive. A null text is as an empty one: no spans, the hash of
-    an empty string. Equal rows stay as many rows; other columns of the input are not read.
+    an empty string; an empty table gives no rows. Equal rows stay as many rows; other columns of the input are not
+    read, and columns in ``keep`` that are named like the results give way to them. Novel spans are of candidates of
+    ``LEAST`` code points or more that start at most ``REACH`` code points behind a word of ``CONTEXT``, judged against
+    ``AROUND`` code points on each side: these are parameters of the method, base spans have no such bounds. Texts are
+    read whole, in time linear in their length.
     """
-    texts = docs.select(*[F.col(f"`{c}`") for c in keep if c != text], F.col(f"`{text}`").alias("__text"))
+    named = {x.split()[0] for x in SCHEMA.split(", ")}
+    texts = docs.select(*[F.col(f"`{c}`") for c in keep if c != text and c not in named], F.col(f"`{text}`").alias("__text"))
     kept = [f for f in texts.schema if f.name != "__text"]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Operators against brute force and planted cases, with nulls, empty and repeated rows."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -106,6 +107,73 @@ def test_secret_scan(spark):
     assert got[3].spans.startswith("novel:") and got[4].spans == "" and got[5] [1:] == got[6][1:]
 
 
+def brute_spans(text):
+    """The base patterns by hand, character by character."""
+    found, letters = [], set("abcdefghijklmnopqrstuvwxyz")
+    value = letters | {c.upper() for c in letters} | set("0123456789+/_.=-")
+    at = 0
+    while at < len(text):
+        end = None
+        for w in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if "".join(c.lower() if c.lower() in letters and c.isascii() else c for c in text[at : at + len(w)]) == w:
+                i = at + len(w)
+                i += text[i : i + 1] in ("'", '"') and text[i : i + 1] != ""
+                while text[i : i + 1] == " ":
+                    i += 1
+                if text[i : i + 1] not in (":", "=") or i >= len(text):
+                    continue
+                i += 1
+                while text[i : i + 1] == " ":
+                    i += 1
+                i += text[i : i + 1] in ("'", '"') and text[i : i + 1] != ""
+                j = i
+                while j < len(text) and text[j] in value:
+                    j += 1
+                if j > i:
+                    end = j
+                    if j - i >= 12:
+                        found.append((at, 0, j))
+                    break
+        at = end or at + 1
+    for kind, allowed, least, lead in ((1, {c.upper() for c in letters} | set("0123456789"), 18, "AKIA"), (2, set("0123456789abcdef"), 16, "")):
+        at = 0
+        while at < len(text):
+            j = at + len(lead)
+            while text.startswith(lead, at) and j < len(text) and text[j] in allowed:
+                j += 1
+            if text.startswith(lead, at) and j > at + len(lead):
+                if j - at >= least:
+                    found.append((at, kind, j))
+                at = j
+            else:
+                at += 1
+    return sorted(found)
+
+
+def test_secret_scan_against_brute_force():
+    rng = random.Random(12)
+    pieces = ["password", "PassWd", "secret", "to", "token", "api_key", "APIKEY", '"', "'", " ", "  ", ":", "=", "AKIA", "deadbeef", "0123456789abcdef", "x9K/+_.-", "\n", "é", "K", "Z9", "==", "AKIAAKIA"]
+    for _ in range(3000):
+        text = "".join(rng.choices(pieces, k=rng.randint(0, 14)))
+        assert secret_scan.base_spans(text) == brute_spans(text), text
+
+
+def test_secret_scan_of_odd_tables(spark):
+    """Empty tables, clashing columns and long texts, in linear time."""
+    docs = docs_of(spark, ["the token is x9Kf02LmQz7TtB4vYw81Rs", None]).withColumn("spans", F.lit("mine")).withColumn("n_hex", F.lit(9))
+    assert secret_scan.scan_secrets(docs.limit(0)).count() == 0
+    got = secret_scan.scan_secrets(docs, keep=("doc_id", "spans", "extra", "n_hex"))
+    assert got.columns == ["doc_id", "extra", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"]
+    assert {r.doc_id: (r.n_hex, r.spans) for r in got.collect()} == {0: (0, "novel:13:35"), 1: (0, "")}
+    compressor = secret_scan._compressor()
+    for text in ("token " * 170_000, "password = " * 90_000, "a" * 1_000_000, "deadbeef" * 120_000, ("secret " + "deadbeef" * 3 + " ") * 30_000):
+        began = time.process_time()
+        secret_scan.scan(text, compressor)
+        assert time.process_time() - began < 5
+    end = "x " * 500_000 + "password=abcdefghijklmnop"
+    assert secret_scan.scan(end, compressor)[5] == "assign:1000000:1000025"
+
+
 def test_quality(spark):
     rng = random.Random(4)
     clean = [" ".join(rng.choices(ALPHABET, k=60)).capitalize() + "." for _ in range(150)]
@@ -303,9 +371,40 @@ def test_html_article_is_a_prior():
     assert html_blocks.extract(around.format(f"<article><p>a</p><p>{foreign}</p></article>")) == f"a\n{foreign.strip()}"
 
 
+def test_html_names_of_subjects_stay():
+    """Ids and classes of headings and paragraphs, and names that only hold a marking word, take nothing out."""
+    good = ("the cat of a dog is in the house and it was good for all of them " * 4).strip()
+    for page in (
+        f'<article><h2 id="search-algorithms">A</h2><h3 class="section-header">B</h3><p id="legal-history">{good}</p></article>',
+        f'<article class="commentary"><header><h2>A</h2></header><div id="comment-history"><h3>B</h3><p title="a hidden x">{good}</p></div></article>',
+    ):
+        assert html_blocks.extract(page) == f"A\nB\n{good}"
+    for name in ('class="cookie-notice"', 'class="relatedPosts x"', 'id="sidebar"', 'role="dialog"', "hidden", 'style="display: none"', 'class="comment-list"'):
+        assert html_blocks.extract(f"<article><p>{good}</p><div {name}><p>{good} too</p></div></article>") == good
+
+
+def test_html_second_pass_decides():
+    """Short blocks have no label of their own; they go with their nearest decided neighbours."""
+    good = "the cat of a dog is in the house and it was good for all of them " * 4
+    page = f"<p>{good}</p><p>One more.</p><ul><li><a>x</a></li><li><a>y</a></li></ul><p>Imprint</p>"
+    found = html_blocks.blocks(page)
+    assert [html_blocks.first_pass(*b) for b in found] == [True, None, False, False, None]
+    assert html_blocks.extract(page) == f"{good.strip()}\nOne more."
+
+
+def test_html_is_linear():
+    for text in ("<div>" * 30_000 + "</p>" * 30_000, "<p>a" * 100_000, "<" * 300_000, "<a <b>" * 60_000, "&amp;" * 200_000, "<script>" * 50_000):
+        began = time.process_time()
+        html_blocks.extract(text)
+        assert time.process_time() - began < 10
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", "<article><p>a</p></article>")], "page_id long, url string, html string")
     assert sorted((r.text, r.n_chars) for r in html_blocks.extract_main_text(pages).collect()) == [("", 0), ("a", 1)]
+    clash = pages.withColumn("text", F.lit("mine"))
+    assert html_blocks.extract_main_text(clash, keep=("page_id", "text")).columns == ["page_id", "text", "n_chars"]
+    assert html_blocks.extract_main_text(pages.limit(0)).count() == 0
 
 
 def test_decontaminate(spark):
