@@ -5,8 +5,9 @@ the training words know it in); transitions between words' languages are learned
 of a text, code-switched or not, a distribution over languages; a text's language is the one with most expected
 words, its score that share.
 
-Training is on the driver, on a bounded sample: about ``PER_LANGUAGE`` documents of each language, pieces of
-``PIECE`` words from all over each text, and pieces of different languages joined, so that switches are learned.
+Training is on the driver, on a bounded sample of labelled rows: whole texts of about ``PER_LANGUAGE`` documents of
+each language are cut into pieces of ``PIECE`` words, and ``PIECES`` of a language's pieces are drawn, each with the same
+chance; pieces of different languages are joined, so that switches are learned.
 Prediction is a map over rows without a shuffle. All words of a batch form one chain that starts anew at each text;
 a two-level scan (products within blocks, then over blocks) makes the work of long texts parallel and exact.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cargolens.llm.shared import with_package
 
-BITS, PER_LANGUAGE, PIECES, PIECE, EPOCHS, SEED, CELLS = 15, 320, 3, 20, 6, 11, 64
+BITS, PER_LANGUAGE, PIECES, PIECE, EPOCHS, SEED, CELLS = 15, 320, 1500, 20, 5, 11, 64
 #: Runs of letters; longer ones (scripts or texts without spaces) are pieces of 40, each a word of the chain.
 WORDS = re.compile(r"[^\W\d_]{1,40}")
 UNKNOWN = "und"
@@ -77,8 +78,11 @@ class Field:
         return (e + np.where(known[:, None] >= 0, self.lexical[known], 0)).astype(np.float32)
 
 
-def _chain(e: np.ndarray, first: np.ndarray, transition: np.ndarray, start: np.ndarray, block: int = 256) -> np.ndarray:
-    """Marginals of a chain of words with emissions ``e`` (words x languages) that starts anew where ``first``."""
+def _chain(e: np.ndarray, first: np.ndarray, transition: np.ndarray, start: np.ndarray, block: int = 256, both: list | None = None) -> np.ndarray:
+    """Marginals of a chain of words with emissions ``e`` (words x languages) that starts anew where ``first``.
+
+    ``both`` is filled with what was scanned forward (each word's own emission counted) and backward (not counted).
+    """
     n, k = e.shape
     c = -(-n // block)
     pad = c * block - n
@@ -131,10 +135,17 @@ def _chain(e: np.ndarray, first: np.ndarray, transition: np.ndarray, start: np.n
         v = v @ whole[i]
         v = v / max(v.sum(), 1e-30)
     v = enter
+    flat = lambda x: x.transpose(1, 0, 2).reshape(c * block, k)[:n]
+    if both is not None:
+        both += [flat(out).copy(), np.empty_like(out)]
     for t in range(block - 1, -1, -1):
         out[t] *= v[:, 0]
+        if both is not None:
+            both[1][t] = v[:, 0]
         v = back(v, t)
-    out = out.transpose(1, 0, 2).reshape(c * block, k)[:n]
+    if both is not None:
+        both[1] = flat(both[1])
+    out = flat(out)
     return out / np.maximum(out.sum(1, keepdims=True), 1e-30)
 
 
@@ -235,23 +246,26 @@ def fit(samples: list[tuple[str, list[list[str]]]]) -> Field:
     return field
 
 
+def expected_pairs(e: np.ndarray, first: np.ndarray, transition: np.ndarray, ahead: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Expected number of each transition (from x to) given the whole of each chain."""
+    pair = (~first[1:]).nonzero()[0]
+    psi = np.exp(e - e.max(1, keepdims=True))
+    joint = ahead[pair][:, :, None] * np.exp(transition - transition.max())[None] * (psi * back)[pair + 1][:, None, :]
+    return (joint / np.maximum(joint.sum((1, 2), keepdims=True), 1e-30)).sum(0)
+
+
 def _step(field: Field, cache: dict, speed: list, words: list[str], labels: np.ndarray, first: np.ndarray) -> None:
-    k = len(field.languages)
     index = [cache[w] for w in words]
     sizes = np.array([len(i) for i in index])
     flat, starts = np.concatenate(index), np.cumsum(np.concatenate([[0], sizes[:-1]]))
     scale = (1 / np.sqrt(sizes)).astype(np.float32)
     known = np.array([field.lexicon.get(w, -1) for w in words])
     e = np.add.reduceat(field.weights[flat], starts) * scale[:, None] + np.where(known[:, None] >= 0, field.lexical[known], 0)
-    m = _chain(e, first, field.transition, field.start, block=32)
-    slope = m.copy()
+    both: list[np.ndarray] = []
+    slope = _chain(e, first, field.transition, field.start, block=32, both=both)
     slope[np.arange(len(words)), labels] -= 1
-    # expected transitions from the marginals' neighbours: local pair posteriors
+    t = expected_pairs(e, first, field.transition, *both)
     pair = (~first[1:]).nonzero()[0]
-    psi = np.exp(e - e.max(1, keepdims=True))
-    joint = m[pair][:, :, None] * np.exp(field.transition)[None] * psi[pair + 1][:, None, :]
-    joint *= m[pair + 1][:, None, :] / np.maximum(joint.sum(1), 1e-30)[:, None, :]
-    t = joint.sum(0)
     np.subtract.at(t, (labels[pair], labels[pair + 1]), 1)
     s = slope[first].sum(0)
     lex = np.zeros_like(field.lexical)
@@ -263,8 +277,9 @@ def _step(field: Field, cache: dict, speed: list, words: list[str], labels: np.n
         p -= 0.3 * g / np.sqrt(h)
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Field:
-    """Fit on about ``per_language`` documents of each non-null language, drawn by a hash of doc_id and text."""
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, pieces: int = PIECES) -> Field:
+    """Fit on ``pieces`` pieces of each non-null language, drawn by a hash from the whole texts of about ``per_language`` of its
+    documents, which are drawn by a hash of doc_id and text. Equal rows count once; texts without letters give nothing."""
     named = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(doc_id, text).alias("key"), F.col(text).alias("text"))
     keys = named.select("lang", "key", F.expr(f"pmod(key, {CELLS})").alias("cell"))
     drawn = keys.withColumn("n", F.row_number().over(Window.partitionBy("lang", "cell").orderBy("key"))).where(F.col("n") <= -(-per_language // CELLS)).select("lang", "key").distinct()
@@ -272,20 +287,22 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            pieces = []
-            for t in part.column("text"):
-                words = WORDS.findall(t.as_py().lower())
-                starts = np.unique(np.linspace(0, max(0, len(words) - PIECE), PIECES).astype(int))
-                pieces.append([words[s : s + PIECE] for s in starts] if words else [])
-            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("key"), pa.array(pieces, pa.list_(pa.list_(pa.string())))], ["lang", "key", "pieces"])
+            for lang, key, t in zip(*(part.column(c).to_pylist() for c in ("lang", "key", "text"))):
+                words = WORDS.findall(t.lower())
+                cut = [words[i : i + PIECE] for i in range(0, len(words), PIECE)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cut), pa.string()), pa.array([key] * len(cut), pa.int64()), pa.array(range(len(cut)), pa.int64()), pa.array(cut, pa.list_(pa.string()))], ["lang", "key", "i", "words"])
 
-    got = sorted(with_package(sample).mapInArrow(batches, "lang string, key long, pieces array<array<string>>").collect(), key=lambda r: (r.lang, r.key))
-    return fit([(r.lang, [list(p) for p in r.pieces]) for r in got])
+    cut = with_package(sample).mapInArrow(batches, "lang string, key long, i long, words array<string>")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("key", "i"), "key", "i")
+    got = sorted(cut.withColumn("n", F.row_number().over(order)).where(F.col("n") <= pieces).collect(), key=lambda r: (r.lang, r.n))
+    return fit([(r.lang, [list(r.words)]) for r in got])
 
 
 def predict_language(docs: DataFrame, field: Field, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` with lang_pred and score. A text that is null or has no letter, or any text after training without
-    a language, gives 'und' and 0. With a single language known, all texts with letters get it, with score 1."""
+    a language, gives 'und' and 0. With a single language known, all texts with letters get it, with score 1. Equal rows
+    stay as many rows, an empty table gives none; columns in ``keep`` that are named like the results give way to them.
+    At a tie the language that is first in order of code points is taken. Long texts are read whole, as one chain."""
     kept = [c for c in keep if c not in ("lang_pred", "score")]
     read = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
     model = docs.sparkSession.sparkContext.broadcast(field)

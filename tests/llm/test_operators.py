@@ -1,5 +1,6 @@
 """Operators against brute force and planted cases, with nulls, empty and repeated rows."""
 
+import itertools
 import random
 import time
 import zlib
@@ -223,10 +224,6 @@ def test_chain_is_forward_backward():
     first[[0, 4, 5, 17]] = True
     got, starts = lang_crf._chain(e, first, a, s, block=4), [0, 4, 5, 17, 23]
     for low, high in zip(starts, starts[1:]):
-        import itertools
-
-        if high - low > 7:
-            continue
         total = np.zeros((high - low, 3))
         for path in itertools.product(range(3), repeat=high - low):
             score = s[path[0]] + sum(e[low + t, y] for t, y in enumerate(path)) + sum(a[x, y] for x, y in zip(path, path[1:]))
@@ -235,6 +232,42 @@ def test_chain_is_forward_backward():
         assert got[low:high] == pytest.approx(total / total.sum(1, keepdims=True), abs=1e-4)
 
 
+def test_expected_transitions():
+    """Against enumeration of all paths of chains."""
+    rng = np.random.default_rng(7)
+    e, a, s = rng.normal(size=(11, 3)).astype(np.float32) * 2, rng.normal(size=(3, 3)).astype(np.float32) * 2, rng.normal(size=3).astype(np.float32)
+    first, both = np.zeros(11, bool), []
+    first[[0, 6, 7]] = True
+    lang_crf._chain(e, first, a, s, block=4, both=both)
+    want = np.zeros((3, 3))
+    for low, high in ((0, 6), (6, 7), (7, 11)):
+        paths = {p: np.exp(s[p[0]] + sum(e[low + t, y] for t, y in enumerate(p)) + sum(a[x, y] for x, y in zip(p, p[1:]))) for p in itertools.product(range(3), repeat=high - low)}
+        total = sum(paths.values())
+        for p, score in paths.items():
+            for x, y in zip(p, p[1:]):
+                want[x, y] += score / total
+    assert lang_crf.expected_pairs(e, first, a, *both) == pytest.approx(want, abs=1e-4)
+
+
+def test_language_of_code_switched_texts(spark):
+    """Words of held-out texts that switch languages; and odd tables."""
+    words = {"en": "the of and house with this that water there people".split(), "fr": "le la des maison avec cette dans eau leur peuple".split(), "de": "der die und haus mit diese nicht wasser dort volk".split()}
+    rng = random.Random(15)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words[lang][:8], k=45)), lang) for i, lang in enumerate(list(words) * 40)], "doc_id long, text string, lang string").withColumn("score", F.lit("mine"))
+    field = lang_crf.train(docs, pieces=100)
+    right = n = 0
+    for _ in range(50):
+        langs = [lang for lang in rng.choices(list(words), k=4) for _ in range(6)]
+        made = [rng.choice(words[lang]) for lang in langs]
+        right += sum(x[1] == lang for x, lang in zip(lang_crf.word_languages(field, " ".join(made)), langs))
+        n += len(langs)
+    assert right / n > 0.97
+    assert lang_crf.predict_language(docs.limit(0), field).count() == 0
+    assert lang_crf.predict_language(docs, field, keep=("doc_id", "score")).columns == ["doc_id", "lang_pred", "score"]
+    long = " ".join(rng.choices(words["fr"], k=200_000))
+    assert lang_crf.Tagger(field)([long, None, "1 2"])[0][0] == "fr"
+
+
 def exact_nearest(ids, v, q, k=10):
     d = np.sqrt(((v - v[q]) ** 2).sum(1))
     return [(ids[i], d[i]) for i in np.lexsort((ids, d)) if ids[i] != ids[q]][:k]
