@@ -9,8 +9,8 @@ Scale. Equal lines are first brought down to one by a 128-bit hash; only hashes
 either on their first or on their last words, so lines whose ends are met in no other line (most lines) need no
 variants; that test is exact but for chance collisions of 64-bit hashes. Hashes of all variants of a line come from two running XORs, in linear time. Groups
 of lines with one variant are aggregated to their earliest member, never paired with each other: a template with a
-counter that fills a third of all lines costs one link a line. Joins that meet hot keys have a unique other side,
-so adaptive execution can split them.
+counter that fills a third of all lines costs one link a line. Joins that meet hot keys have a unique other side that
+is a table, so both sides are plain shuffles and adaptive execution can split the hot one.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cargolens.llm.shared import written
+from cargolens.llm.shared import dropped, written
 
 AT = ["doc", "row", "line_no"]  # the place of a line: doc_id, a hash of doc_id and text, number of the line
 
@@ -68,7 +68,7 @@ def occurrences(docs: DataFrame, min_words: int, short_repeats: bool) -> DataFra
 def with_shared_end(lines: DataFrame) -> DataFrame:
     """h1 and h2 of the lines that have an end in common with a different line."""
     halves = lines.select("h1", "h2", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half")
+    shared = written(halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half"))
     return halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
 
 
@@ -80,8 +80,11 @@ def near_earlier(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         .select(docs.doc, docs.row, _lines(F.col("text")).alias("all"), "numbers")
         .select("doc", "row", F.explode(F.expr("transform(array_distinct(numbers), i -> struct(i as line_no, all[i] as line))")).alias("l"))
         .select(F.struct("doc", "row", "l.line_no").alias("at"), _words(F.col("l.line")).alias("w"))
+        .groupBy("at")
+        .agg(F.first("w").alias("w"))  # of equal rows one
     )
-    hashed = lines.select("at", F.size("w").alias("n"), F.posexplode("w").alias("i", "word")).select(
+    # lines are dealt by their place before their words become rows, as the windows need them
+    hashed = lines.repartition("at").select("at", F.size("w").alias("n"), F.posexplode("w").alias("i", "word")).select(
         "at", "n", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("moved")
     )
     line = Window.partitionBy("at").orderBy("i")
@@ -107,8 +110,9 @@ def near_earlier(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         ).alias("x"),
     ).select("at", "x.v", "x.m", "x.i")
     # only variants that two lines share; of each place of deletion (-1: none) the earliest line
-    shared = variants.groupBy("v", "m").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a <> b").select("v", "m")
+    shared = written(variants.groupBy("v", "m").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a <> b").select("v", "m"))
     variants = written(variants.join(shared, ["v", "m"], "left_semi"))
+    dropped(shared)
     earliest = variants.groupBy("v", "m", "i").agg(F.min("at").alias("other")).select("v", "m", F.col("i").alias("j"), "other")
     pairs = variants.join(earliest, ["v", "m"]).where("other < at and (i = j or i = -1 or j = -1)")
     links = pairs.groupBy("at").agg(F.min(F.struct("other", "i", "j")).alias("l")).select("at", "l.*")
