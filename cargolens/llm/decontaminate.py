@@ -2,17 +2,18 @@
 
 Words of documents and benchmark items are brought to templates: numbers become <num>, units after numbers <unit>,
 capitalised words inside a sentence <name>; other words lose case and punctuation. Windows of template words are
-joined by hash, compared word by word, and their slots must be consistent: in a window, equal values of the item
-stand where the document has equal values, and different ones where it has different ones. So a question with new
-numbers, names or units is found, while windows that only share their placeholders are not. Windows with too few
+joined by hash, compared word by word, and their slots must be consistent: over all windows of an instance of an item
+(those at one offset from it), equal values of the item stand where the document has equal values, and different ones
+where it has different ones. So a question with new numbers, names or units is found, while windows that only share
+their placeholders, or that stand for contradicting values, are not. Windows with too few
 words besides placeholders are joined by their words as they stand instead, values included, so short items and those
 full of numbers are found word for word. The template of an item's first word depends on what a document has before
 it ('What' is a name after a word or a comma), so the first window also stands with a placeholder in its place, which
 only the same word fills.
 
 Scale: texts are read once for the windows; hashes of windows are filtered against the benchmark's by a broadcast
-of the hashes alone where there are at most ``BROADCAST_WINDOWS`` of them (counted first), else by a shuffled join;
-both give the same rows. Benchmark windows with the same hash are one row, so a frequent passage costs one match a
+of the hashes alone where they take at most ``BROADCAST_BYTES`` (counted first, as are the windows with their words for
+the last join), else by a shuffled join; both give the same rows. Benchmark windows with the same hash are one row, so a frequent passage costs one match a
 document. Matches grow with the documents, so the texts that have some are found by a shuffled join at every size:
 it moves each text once.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from cargolens.llm.shared import LOWER, UPPER, written
 
 WINDOW, LITERALS, NEED = 8, 5, 5
-BROADCAST_WINDOWS = 1_000_000
+BROADCAST_BYTES, HASH_BYTES, WORD_BYTES = 64 << 20, 64, 48
 # Units that may follow a number.
 UNITS = (
     "mm cm m km in ft yd mi mile miles inch inches foot feet yard yards meter meters metre metres kilometer kilometers kilometre kilometres "
@@ -85,12 +86,16 @@ def _slots(words: str) -> str:
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, literals: int = LITERALS, need: int = NEED) -> DataFrame:
     """Pairs (doc_id, item_id, n_windows): the item's windows that the document has, with consistent slots.
 
+    Windows at one offset from the item are one instance of it; where their slots contradict each other, only windows
+    without slots count.
+
     A document has an item if at least ``need`` different windows of the item (all, if it has fewer) are met;
     with the defaults that is a passage of 12 words. A window is ``window`` template words, items of fewer words are
     one window. Where fewer than ``literals`` of its words are words rather than placeholders, a window is met only
     word for word, and an item that has others too is also found by ``need`` (or all) of the others. So an item of
     one common word is met in each text that has the word. Null and empty texts have no windows; rows with the same doc_id count as one document, null being one
-    of them; item rows with the same item_id as one item, items without an id are left out.
+    of them; item rows with the same item_id as one item, items without an id are left out. Empty tables give no pairs;
+    other columns of either table are not read. Texts are read whole, however long.
     """
     spark = docs.sparkSession
     items = _kept(benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")), "text").select("item_id", "words", F.expr(f"least(size(words), {window})").alias("n"))
@@ -106,10 +111,12 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
         .select("item_id", "j", "n", "exact", "fixed", F.expr("xxhash64(transform(template, w -> xxhash64(w)))").alias("hash"), "template", "values")
     )
     pieces = written(pieces)
-    n_pieces = pieces.agg(F.count("*"), F.collect_set(F.struct(F.when(F.col("exact"), "e").otherwise("h"), "n"))).first()
-    lengths = sorted(tuple(x) for x in n_pieces[1]) or [("h", window)]
+    # at most two kinds of each length up to ``window``; in memory a word takes its bytes and WORD_BYTES, a row HASH_BYTES
+    words = sum((F.length(F.array_join(c, "")) + WORD_BYTES * F.size(c)) for c in ("template", "values"))
+    n_pieces, kinds, n_bytes = pieces.agg(F.count("*"), F.collect_set(F.struct(F.when(F.col("exact"), "e").otherwise("h"), "n")), F.coalesce(F.sum(words + 3 * HASH_BYTES), F.lit(0))).first()
+    lengths = sorted(tuple(x) for x in kinds) or [("h", window)]
     hashes = pieces.select("hash", "n", "exact").distinct()
-    hashes = F.broadcast(hashes) if n_pieces[0] <= BROADCAST_WINDOWS else hashes
+    hashes = F.broadcast(hashes) if n_pieces * HASH_BYTES <= BROADCAST_BYTES else hashes
     # windows first, without the words, so that rows stay small; then the words of documents with a hit
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("row"))
     if any(h == "e" for h, _ in lengths):
@@ -125,18 +132,23 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     )
     found = (
         _kept(base.join(hits.hint("merge"), (F.col("row") == F.col("g")) & F.col("doc_id").eqNullSafe(F.col("d"))), "text")
-        .select("doc_id", F.explode(F.expr("transform(xs, x -> struct(x.hash as hash, x.n as n, x.exact as exact, transform(sequence(0, x.n - 1), k -> get(words, x.i + k)) as w))")).alias("x"))
-        .select("doc_id", "x.*")
-        .select("doc_id", "hash", "n", "exact", F.expr("transform(w, w -> if(exact, w.e, w.t))").alias("template"), F.expr(f"if(exact, array(), {_slots('w')})").alias("mine"))
+        .select("doc_id", "row", F.explode(F.expr("transform(xs, x -> struct(x.i as i, x.hash as hash, x.n as n, x.exact as exact, transform(sequence(0, x.n - 1), k -> get(words, x.i + k)) as w))")).alias("x"))
+        .select("doc_id", "row", "x.*")
+        .select("doc_id", "row", "i", "hash", "n", "exact", F.expr("transform(w, w -> if(exact, w.e, w.t))").alias("template"), F.expr(f"if(exact, array(), {_slots('w')})").alias("mine"))
         .distinct()
     )
-    consistent = "size(array_distinct(arrays_zip(mine, values))) = size(array_distinct(mine)) and size(array_distinct(mine)) = size(array_distinct(values))"
+    steady = "size(array_distinct(slots)) = size(array_distinct(slots.values))"
+    consistent = f"{steady} and size(array_distinct(slots)) = size(array_distinct(slots.mine))"
     grouped = pieces.groupBy("hash", "n", "exact", "fixed", "template", "values").agg(F.collect_list(F.struct("item_id", "j")).alias("where"))
     met = (
-        found.join(F.broadcast(grouped) if n_pieces[0] <= BROADCAST_WINDOWS else grouped, ["hash", "n", "exact", "template"])
+        found.join(F.broadcast(grouped) if n_bytes <= BROADCAST_BYTES else grouped, ["hash", "n", "exact", "template"])
+        .withColumn("slots", F.arrays_zip("mine", "values"))
         .where(f"size(values) = 0 or (not fixed or mine[0] = values[0]) and ({consistent})")
-        .select("doc_id", "exact", F.explode("where").alias("x"))
-        .select("doc_id", "x.item_id", "x.j", "exact")
+        .select("doc_id", "row", "i", "exact", "slots", F.explode("where").alias("x"))
+        .groupBy("doc_id", "row", F.col("x.item_id").alias("item_id"), (F.col("i") - F.col("x.j")).alias("offset"))
+        .agg(F.collect_set(F.struct("x.j", "exact", (F.size("slots") == 0).alias("plain"))).alias("windows"), F.flatten(F.collect_set("slots")).alias("slots"))
+        .select("doc_id", "item_id", F.explode(F.expr(f"filter(windows, w -> w.plain or {steady})")).alias("w"))
+        .select("doc_id", "item_id", "w.j", "w.exact")
         .distinct()
         .groupBy("doc_id", "item_id")
         .agg(F.count_distinct("j").alias("n_windows"), F.count_if(~F.col("exact")).alias("by_template"))
