@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from cargolens.llm import ann_srs, decontaminate, html_blocks, jaccard_join, lang_crf, line_dedup, quality_fm, secret_scan, source_mix, url_filter
@@ -460,3 +461,100 @@ def test_decontaminate_short_and_dense_items(spark):
     made += ["Maria said Paris force keeps the moon on its path then", "see: 1 2 3 4 5 6 7 8 9 10 kg, so", "1 2 3 4 5 6 7 8 9 11 kg", "and What is it now", "they ask Why do 9 birds of the north fly over here", *items]
     got = sorted((r.doc_id, r.item_id) for r in decontaminate.find_benchmark(docs_of(spark, made), bench).collect())
     assert got == [(0, 0), (2, 1), (3, 1), (5, 2), (7, 3), (8, 4), (9, 0), (10, 1), (11, 2), (12, 3), (13, 4)]
+
+
+def brute_templates(text):
+    """(template, word as it stands in lower case, word without its outer punctuation) of the words that have a template."""
+    raw = regex.sub(r"[\t-\r<>]", " ", text or "").split(" ")
+    out, number = [], False
+    for k, w in enumerate(raw):
+        t = w
+        m = regex.match(r"\p{Lu}\p{Ll}[\p{L}'-]*", w)
+        if m and k and regex.search(r"[\p{L}\p{N},;]$", raw[k - 1]) and (m.end() == len(w) or w[m.end()] in ",;.:!?"):
+            t = "<name>" + w[m.end() :]
+        was, number = number, bool(regex.match(r"[$€£+(-]*\d", t))
+        if number:
+            t = "<num>"
+        elif was and regex.fullmatch(r"[.,;:!?)]?", t.lstrip("abcdefghijklmnopqrstuvwxyz")) is not None and regex.match(r"[a-z]*", t)[0] in decontaminate.UNITS:
+            t = "<unit>"
+        t = regex.sub(r"[^\p{L}\p{M}<> ]+", "", t.lower())
+        p = "".join(c.lower() if "A" <= c <= "Z" else c for c in w)
+        e = regex.sub(r"^[^\p{L}\p{M}\p{N} $€£+-]+|[^\p{L}\p{M}\p{N} %°]+$", "", w.lower())
+        if t:
+            out.append((t, p, e))
+    return out
+
+
+def brute_benchmark(docs, items):
+    found = []
+    placed = lambda t: t.startswith("<")
+    for d, text in enumerate(docs):
+        words = brute_templates(text)
+        for item_id, item in enumerate(items):
+            whole = brute_templates(item)
+            n = min(8, len(whole))
+            if not n:
+                continue
+            windows = [whole[j : j + n] for j in range(len(whole) - n + 1)]
+            exact = [sum(not placed(t) for t, _, _ in w) < 5 for w in windows]
+            met, instances = set(), {}
+            for j, w in enumerate(windows):
+                for i in range(len(words) - n + 1):
+                    v = words[i : i + n]
+                    if exact[j]:
+                        if [x[2] for x in v] == [x[2] for x in w]:
+                            met.add(j)
+                        continue
+                    first = j == 0 and not placed(w[0][0]) and v[0][0] in ("<name>", "<unit>")
+                    if [x[0] for x in v[first:]] != [x[0] for x in w[first:]] or (first and v[0][1] != w[0][1]):
+                        continue
+                    slots = {(x[1], y[1]) for x, y, at in zip(v, w, range(n)) if placed(y[0]) or (first and at == 0)}
+                    if len(slots) == len({a for a, _ in slots}) == len({b for _, b in slots}):
+                        instances.setdefault(i - j, []).append((j, slots))
+            for at in instances.values():
+                slots = set().union(*(x for _, x in at))
+                met |= {j for j, x in at if not x or len(slots) == len({b for _, b in slots})}
+            by_template = [j for j in met if not exact[j]]
+            templates = len(windows) - sum(exact)
+            if len(met) >= min(len(windows), 5) or (templates and len(by_template) >= min(templates, 5)):
+                found.append((d, item_id, len(met)))
+    return found
+
+
+def test_decontaminate_against_brute_force(spark):
+    rng = random.Random(17)
+    vocabulary = "the a car, goes from to at Paris Lyon Anna 5 8 12 (3 km mi. hours, then. What why Zoë-x $5 x7 é <b> -- and walks".split()
+    items = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 16))) for _ in range(60)]
+    made = []
+    for item in items * 3:
+        w = item.split(" ")
+        for _ in range(rng.choice((0, 0, 1, 2, 4))):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        made.append(rng.choice(("", "so ", "Well. ", "then,\n")) + " ".join(w) + rng.choice(("", " and so on", "\n" + item)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    docs = docs_of(spark, made).withColumn("row", F.lit("mine")).withColumn("hash", F.lit(1)).withColumn("item_id", F.lit(2))
+    got = sorted((r.doc_id, r.item_id, r.n_windows) for r in decontaminate.find_benchmark(docs, bench).collect())
+    assert got == brute_benchmark(made, items) and len(got) > 150
+    assert decontaminate.decontaminate(docs, bench).columns == docs.columns
+    assert decontaminate.find_benchmark(docs.limit(0), bench).count() == 0
+
+
+def test_decontaminate_slots_of_an_instance(spark):
+    """A value that stands far apart in an item has one value in the document; equal rows and texts of any length."""
+    item = "add 8 to this sum of all the good men that went to town and then with care take 8 from it for me"
+    made = [item.replace("8", "15"), item.replace("8", "15", 1).replace("8", "20"), "x " * 100_000 + item, item]
+    bench = spark.createDataFrame([(1, item), (1, item)], "item_id int, text string")
+    got = {r.doc_id: r.n_windows for r in decontaminate.find_benchmark(docs_of(spark, made).unionAll(docs_of(spark, made)), bench).collect()}
+    n = len(item.split()) - 7
+    assert got == {0: n, 1: n - 2 - 5, 2: n, 3: n}  # two windows have the first 8, five the second
+
+
+def test_line_dedup_of_odd_tables(spark):
+    """Null ids, repeated rows, clashing names, long lines and a template that fills most of the lines."""
+    made = [f"this line of the template has number {i}" for i in range(400)]
+    rows = [(None, made[0] + "\nnull comes first", 1), (3, made[1], 2), (3, made[1], 2), (4, "\n".join(made), 3), (5, "word " * 50_000 + "end\nnull comes first", 4), (6, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int").withColumn("lines", F.lit("mine")).withColumn("n_dropped", F.lit("x")).withColumn("doc", F.lit(7))
+    got = line_dedup.dedup_lines(docs, short_repeats=True)
+    assert got.columns == ["doc_id", "text", "row", "lines", "doc", "n_lines", "n_dropped"]
+    texts = {(r.doc_id, r.row): (r.text, r.n_dropped, r.lines) for r in got.collect()}
+    assert texts[None, 1] == (rows[0][1], 0, "mine") and texts[3, 2] == ("", 1, "mine") and texts[4, 3] == ("", 400, "mine") and texts[5, 4] == ("word " * 50_000 + "end", 1, "mine") and texts[6, 5][0] is None
