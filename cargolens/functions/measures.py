@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES, SMALL_GROUP = 32 << 20, 100_000
 
 
 def cost_per_lb() -> Column:
@@ -45,19 +45,42 @@ def ratio(a: Column, b: Column) -> Column:
     return a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))
 
 
-def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``most`` rows, which is counted on the persisted frame; else leave the join to the shuffle."""
-    df = df.persist()
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+_KEPT: list[DataFrame] = []
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], accuracy: int = 4000) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` persisted until ``release``."""
+    _KEPT.append(df.persist())
+    return df
+
+
+def release() -> None:
+    """Unpersists what ``kept`` holds. Frames that still read it compute it again."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+
+
+def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` if its measured size is at most ``most`` bytes, else leave the join to the shuffle.
+
+    The size is 16 bytes a value and the bytes of strings, in one job over the frame, which is kept for the join.
+    """
+    df = kept(df)
+    chars = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.typeName() == "string"), F.lit(0))
+    size = df.agg(F.coalesce(F.sum(chars + 16 * len(df.columns)), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most else df
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], accuracy: int = 4000, small: int = SMALL_GROUP) -> DataFrame:
     """Exact interpolated percentiles of a group in bounded memory: one row of keys, n and the names in ``shares``.
 
-    A sketch with a rank error of at most 1/accuracy of the group gives a bracket around each percentile. Rows below
-    the bracket are only counted, rows inside (about 4/accuracy of a group) are sorted and the two neighbours of the
-    wanted rank interpolated. Null values are left out; groups without values give null percentiles.
+    Where no group has more than ``small`` values, they are aggregated as they are. Else a sketch with a rank error of
+    at most 1/accuracy of the group gives a bracket around each percentile. Rows below the bracket are only counted, rows
+    inside (about 4/accuracy of a group) are sorted and the two neighbours of the wanted rank interpolated. Null values
+    are left out; groups without values give null percentiles. Both ways give the same rows.
     """
+    if (df.groupBy(*keys).agg(F.count(value).alias("n")).agg(F.max("n")).first()[0] or 0) <= small:
+        return df.groupBy(*keys).agg(F.count(value).alias("n"), *[F.percentile(value, F.lit(float(p))).alias(name) for name, p in shares.items()])
     margin, names = 2.0 / accuracy, list(shares)
     marks = [x for p in shares.values() for x in (max(0.0, p - margin), min(1.0, p + margin))]
     sketch = df.groupBy(*keys).agg(F.count(value).alias("n"), F.percentile_approx(value, marks, accuracy).alias("marks"), F.min(value).alias("low"), F.max(value).alias("high"))
@@ -81,8 +104,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, fl
         .select(*keys, F.col(value).alias("__v"))
         .alias("d")
         .join(sketch.alias("s"), on)
-        .select(*[F.col(f"d.{k}").alias(k) for k in keys], "__v", F.explode(bracket).alias("b"))
-        .where(F.col("__v") <= F.col("b.to"))
+        .select(*[F.col(f"d.{k}").alias(k) for k in keys], "__v", F.explode(F.filter(bracket, lambda b: F.col("__v") <= b["to"])).alias("b"))
         .select(*keys, F.col("b.i").alias("i"), F.when(F.col("__v") >= F.col("b.from"), F.col("__v")).alias("v"))
         # equal values are one row with a count: rows below the bracket collapse to one
         .groupBy(*keys, "i", "v")

@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolens.functions.measures import cost_per_lb_floored, percentiles, week_end, week_start
-from cargolens.operators.evaluate import local_iqr_flags, local_zscore_flags
+from cargolens.operators.evaluate import local_marks
 from cargolens.schemas import DEVIATION, PRIOR_WEEKS
 
 
 def flagged(ships: DataFrame) -> DataFrame:
-    """Shipments with cpl and flagged 0 or 1 by either local method."""
-    ids = local_zscore_flags(ships).union(local_iqr_flags(ships)).distinct().withColumn("__f", F.lit(1))
-    return ships.withColumn("cpl", cost_per_lb_floored()).join(ids, "shipment_id", "left").withColumn("flagged", F.coalesce("__f", F.lit(0))).drop("__f")
+    """Shipments, whose key is shipment_id, with cpl and flagged 0 or 1 by either local method."""
+    return local_marks(ships).withColumn("flagged", F.greatest("z", "q")).drop("z", "q")
 
 
 def kpis(marked: DataFrame) -> DataFrame:
@@ -70,11 +69,14 @@ def carrier_scatter(ships: DataFrame) -> DataFrame:
 
 def flag_breakdown(ships: DataFrame, k: int = 10) -> DataFrame:
     """Per lane: flags by Z-score only, by both and by quartiles only; the k lanes with most."""
-    z, iqr = local_zscore_flags(ships).withColumn("z", F.lit(1)), local_iqr_flags(ships).withColumn("q", F.lit(1))
-    marked = ships.select("shipment_id", "lane_id").join(z.join(iqr, "shipment_id", "full"), "shipment_id", "left")
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    has_z, has_q = F.col("z").isNotNull(), F.col("q").isNotNull()
-    lanes = marked.where("lane_id is not null").groupBy("lane_id").agg(n(has_z & ~has_q).alias("zscore_only"), n(has_z & has_q).alias("both"), n(~has_z & has_q).alias("iqr_only"))
+    lanes = local_marks(ships).where("lane_id is not null").groupBy("lane_id").agg(n(F.expr("z > q")).alias("zscore_only"), n(F.expr("z = 1 and q = 1")).alias("both"), n(F.expr("q > z")).alias("iqr_only"))
     return lanes.withColumn("total_flags", F.col("zscore_only") + F.col("both") + F.col("iqr_only")).orderBy(F.desc("total_flags"), "lane_id").limit(k)
 
 
+
+
+def lane_panel(risk: DataFrame, k: int = 3) -> DataFrame:
+    """The k lanes of greatest risk for a chart: rates in percent and the overrun as a share of the greatest of them."""
+    top = risk.orderBy(F.desc_nulls_last("risk_score"), "lane_id").limit(k)
+    return top.select("lane_id", "anomaly_rate_pct", "late_rate_pct", "cost_overrun_pct", (F.col("cost_overrun_pct") / F.nullif(F.max("cost_overrun_pct").over(Window.partitionBy()), F.lit(0.0))).alias("overrun_share"))

@@ -39,11 +39,29 @@ def zscore_flags(ships: DataFrame, threshold: float = Z_THRESHOLD, min_group: in
 def iqr_flags(ships: DataFrame, factor: float = IQR_FACTOR, min_group: int = MIN_GROUP) -> DataFrame:
     """Shipments whose cost per pound lies outside the quartile fences of lane and mode."""
     costed = ships.withColumn("cpl", cost_per_lb())
-    groups = ships.groupBy(*KEYS).agg(F.count("*").alias("rows")).where(F.col("rows") >= min_group)
-    fences = percentiles(costed, KEYS, "cpl", {"q1": 0.25, "q3": 0.75}).join(sized(groups), KEYS)
+    return costed.join(sized(_fences(costed, factor, min_group)), KEYS).where("cpl > upper_fence or cpl < lower_fence").select(_flag("IQR", F.lit(None)))
+
+
+def _fences(costed: DataFrame, factor: float, min_group: int) -> DataFrame:
+    groups = costed.groupBy(*KEYS).agg(F.count("*").alias("rows")).where(F.col("rows") >= min_group)
     spread = factor * (F.col("q3") - F.col("q1"))
-    fences = fences.select(*KEYS, (F.col("q1") - spread).alias("lower_fence"), (F.col("q3") + spread).alias("upper_fence"))
-    return costed.join(sized(fences), KEYS).where("cpl > upper_fence or cpl < lower_fence").select(_flag("IQR", F.lit(None)))
+    fences = percentiles(costed, KEYS, "cpl", {"q1": 0.25, "q3": 0.75}).join(groups, KEYS)
+    return fences.select(*KEYS, (F.col("q1") - spread).alias("lower_fence"), (F.col("q3") + spread).alias("upper_fence"))
+
+
+def marked(ships: DataFrame, threshold: float = Z_THRESHOLD, factor: float = IQR_FACTOR, min_group: int = MIN_GROUP) -> DataFrame:
+    """``ships`` with z_flag, iqr_flag and is_anomaly_flag (either), 0 or 1: what the two detectors flag, in place.
+
+    One join with the statistics of lane and mode; shipments are not shuffled, unlike by a join with their flags on
+    shipment_id, which is their key.
+    """
+    costed = ships.withColumn("cpl", cost_per_lb())
+    stats = costed.groupBy(*KEYS).agg(F.avg("cpl").alias("m"), F.stddev_samp("cpl").alias("d"), F.count("*").alias("n")).where(F.col("n") >= min_group).drop("n")
+    both = sized(stats.join(_fences(costed, factor, min_group), KEYS))
+    flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+    z = F.abs((F.col("cpl") - F.col("m")) / F.nullif(F.col("d"), F.lit(0.0))) > threshold
+    out = costed.join(both, KEYS, "left").withColumns({"z_flag": flag(z), "iqr_flag": flag(F.expr("cpl > upper_fence or cpl < lower_fence"))})
+    return out.select(*ships.columns, "z_flag", "iqr_flag", F.greatest("z_flag", "iqr_flag").alias("is_anomaly_flag"))
 
 
 def anomaly_flags(ships: DataFrame) -> DataFrame:

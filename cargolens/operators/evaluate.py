@@ -36,37 +36,48 @@ def choose_grouping(ships: DataFrame, least: float = LOCAL_COVERAGE) -> list[str
     return CANDIDATES[best.place] if best and best.covered_rows > 0 else []
 
 
-def _with_stats(ships: DataFrame, stats) -> DataFrame:
+def local_marks(ships: DataFrame, threshold: float = Z_THRESHOLD, factor: float = IQR_FACTOR) -> DataFrame:
+    """``ships`` with cpl and the flags z and q, 0 or 1: outliers against the adaptive peer group by Z-score and by quartiles.
+
+    The grouping is chosen once; statistics are joined as one row a group, or as the one row of all. The deviation has
+    a floor of 1e-6.
+    """
     keys = choose_grouping(ships)
     costed = ships.withColumn("cpl", cost_per_lb_floored())
+    rows, by = (costed.dropna(subset=keys), keys) if keys else (costed.withColumn("__all", F.lit(1)), ["__all"])
+    means = rows.groupBy(*by).agg(F.avg("cpl").alias("mean"), F.stddev_samp("cpl").alias("std"))
+    stats = percentiles(rows, by, "cpl", {"q1": 0.25, "q3": 0.75}).join(means, by)
     if keys:
-        return costed.join(sized(stats(costed.dropna(subset=keys), keys).where(F.col("n") >= LOCAL_MIN_GROUP)), keys)
-    return costed.crossJoin(F.broadcast(stats(costed.withColumn("every", F.lit(1)), ["every"]).drop("every")))  # one row
+        met = costed.join(sized(stats.where(F.col("n") >= LOCAL_MIN_GROUP)), keys, "left")
+    else:
+        met = costed.join(F.broadcast(stats.drop("__all")), F.lit(True), "left")  # one row, none without shipments
+    z = F.abs((F.col("cpl") - F.col("mean")) / F.when(F.col("std") < 1e-6, F.lit(1e-6)).otherwise(F.col("std"))) > threshold
+    spread = factor * (F.col("q3") - F.col("q1"))
+    q = (F.col("cpl") > F.col("q3") + spread) | (F.col("cpl") < F.col("q1") - spread)
+    flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+    return met.select(*costed.columns, flag(z).alias("z"), flag(q).alias("q"))
 
 
 def local_zscore_flags(ships: DataFrame, threshold: float = Z_THRESHOLD) -> DataFrame:
-    """shipment_id of outliers against the adaptive peer group; the deviation has a floor of 1e-6."""
-    stats = lambda df, keys: df.groupBy(*keys).agg(F.avg("cpl").alias("mean"), F.stddev_samp("cpl").alias("std"), F.count("cpl").alias("n"))
-    z = (F.col("cpl") - F.col("mean")) / F.when(F.col("std") < 1e-6, F.lit(1e-6)).otherwise(F.col("std"))
-    return _with_stats(ships, stats).where(F.abs(z) > threshold).select("shipment_id").distinct()
+    return local_marks(ships, threshold=threshold).where("z = 1").select("shipment_id").distinct()
 
 
 def local_iqr_flags(ships: DataFrame) -> DataFrame:
-    stats = lambda df, keys: percentiles(df, keys, "cpl", {"q1": 0.25, "q3": 0.75})
-    spread = IQR_FACTOR * (F.col("q3") - F.col("q1"))
-    out = (F.col("cpl") > F.col("q3") + spread) | (F.col("cpl") < F.col("q1") - spread)
-    return _with_stats(ships, stats).where(out).select("shipment_id").distinct()
-
-
-def metrics(flagged: DataFrame, truth: DataFrame, method: str) -> DataFrame:
-    """One row: confusion counts, precision, recall, f1, fpr and n_flagged. Flagged ids that truth lacks are false positives."""
-    ids = flagged.select("shipment_id").distinct()
-    hit = truth.join(ids.withColumn("__f", F.lit(1)), "shipment_id", "left").agg(
-        F.count("*").alias("n"), F.coalesce(F.sum("is_anomaly"), F.lit(0)).alias("positive"), F.coalesce(F.sum(F.when(F.col("__f") == 1, F.col("is_anomaly"))), F.lit(0)).alias("tp")
-    )
-    counts = hit.crossJoin(ids.agg(F.count("*").alias("n_flagged"))).select(
-        F.lit(method).alias("method"), F.col("tp").cast("long").alias("tp"), (F.col("n_flagged") - F.col("tp")).alias("fp"), (F.col("positive") - F.col("tp")).alias("fn"),
-        (F.col("n") - F.col("positive") - F.col("n_flagged") + F.col("tp")).alias("tn"), "n_flagged",
+    return local_marks(ships).where("q = 1").select("shipment_id").distinct()
+
+
+def metrics_by(flagged: DataFrame, truth: DataFrame, methods: list[str] | None = None) -> DataFrame:
+    """A row for each method of ``flagged`` (method, shipment_id), and for each of ``methods``: confusion counts, precision,
+    recall, f1, fpr and n_flagged. Flagged ids that truth lacks are false positives. One join with truth."""
+    known = truth.groupBy("shipment_id").agg(F.sum("is_anomaly").alias("a"))
+    hits = flagged.select("method", "shipment_id").distinct().join(known, "shipment_id", "left").groupBy("method").agg(F.count("*").alias("n_flagged"), F.coalesce(F.sum("a"), F.lit(0)).alias("tp"))
+    if methods:
+        named = flagged.sparkSession.createDataFrame([(m,) for m in methods], "method string")
+        hits = named.join(hits, "method", "full").select("method", F.coalesce("n_flagged", F.lit(0)).alias("n_flagged"), F.coalesce("tp", F.lit(0)).alias("tp"))
+    total = truth.agg(F.count("*").alias("n"), F.coalesce(F.sum("is_anomaly"), F.lit(0)).alias("positive"))
+    counts = hits.crossJoin(F.broadcast(total)).select(  # one row
+        "method", F.col("tp").cast("long").alias("tp"), (F.col("n_flagged") - F.col("tp")).alias("fp"), (F.col("positive") - F.col("tp")).alias("fn"),
+        (F.col("n") - F.col("positive") - F.col("n_flagged") + F.col("tp")).alias("tn"), F.col("n_flagged").cast("long").alias("n_flagged"),
     )
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
@@ -75,16 +86,26 @@ def metrics(flagged: DataFrame, truth: DataFrame, method: str) -> DataFrame:
     return rated.select("method", "tp", "fp", "fn", "tn", F.round("p", 4).alias("precision"), F.round("r", 4).alias("recall"), F.round(f1, 4).alias("f1"), F.round(share(fp, fp + tn), 4).alias("fpr"), "n_flagged")
 
 
+def metrics(flagged: DataFrame, truth: DataFrame, method: str) -> DataFrame:
+    """The row of one method's flagged ids."""
+    return metrics_by(flagged.select(F.lit(method).alias("method"), "shipment_id"), truth, [method])
+
+
 def eval_metrics(ships: DataFrame, truth: DataFrame) -> DataFrame:
     """Metrics of each local method and of their union."""
-    z, iqr = local_zscore_flags(ships).persist(), local_iqr_flags(ships).persist()
-    return metrics(z, truth, "ZSCORE").unionByName(metrics(iqr, truth, "IQR")).unionByName(metrics(z.union(iqr), truth, "ALL"))
+    marks = local_marks(ships).where("z = 1 or q = 1")
+    kinds = F.array_compact(F.array(F.when(F.col("z") == 1, "ZSCORE"), F.when(F.col("q") == 1, "IQR"), F.lit("ALL")))
+    return metrics_by(marks.select(F.explode(kinds).alias("method"), "shipment_id"), truth, ["ZSCORE", "IQR", "ALL"])
 
 
 def metrics_from_export(flags: DataFrame, truth: DataFrame) -> DataFrame:
-    """The same from exported flags (flag_type, shipment_id): per type present, and for all."""
-    kinds = [r.flag_type for r in flags.select("flag_type").distinct().orderBy("flag_type").limit(100).collect()]
-    out = metrics(flags, truth, "ALL")
-    for kind in kinds:
-        out = out.unionByName(metrics(flags.where(F.col("flag_type") == kind), truth, kind))
-    return out
+    """The same from exported flags (flag_type, shipment_id): for each type that they have, and for all."""
+    both = flags.where("flag_type is not null").select(F.col("flag_type").alias("method"), "shipment_id").unionByName(flags.select(F.lit("ALL").alias("method"), "shipment_id"))
+    return metrics_by(both, truth, ["ALL"])
+
+
+def metrics_as_text(rated: DataFrame) -> DataFrame:
+    """Rows of metrics as a report shows them: three places, thousands apart, ALL last as 'ALL (distinct)'."""
+    shown = [F.format_number(F.coalesce(c, F.lit(0.0)), 3).alias(name) for c, name in ((F.col("precision"), "Precision"), (F.col("recall"), "Recall"), (F.col("f1"), "F1"), (F.col("fpr"), "FPR"))]
+    every = F.col("method") == "ALL"
+    return rated.orderBy(every, "method").select(F.when(every, "ALL (distinct)").otherwise(F.col("method")).alias("Method"), *shown, F.format_number("n_flagged", 0).alias("Flagged"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import argparse
 import sys
 import uuid
 from datetime import datetime
@@ -11,15 +12,16 @@ from pyspark.sql import functions as F
 
 from cargolens.functions.measures import week_start
 from cargolens.schemas import CITIES, DIESEL, FLOW_MODES, MODE_SHARES, MODES, ON_TIME, RATES, STATE_CODES
+from cargolens.sources import readers, sinks
 
 SEED, N_SHIPMENTS, LANES_A_GROUP, ANOMALIES = 42, 75_000, 30, 0.07
 DEFAULT_SURCHARGE = 0.15
 
 
 def uniform(name: str, seed: int, *keys: str | Column) -> Column:
-    """In (0, 1)."""
-    h = F.xxhash64(F.lit(name), F.lit(seed), *keys)
-    return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / F.lit(2.0**53)
+    """In (0, 1): the first 52 bits of a hash of the text name:seed:keys, which other engines can draw as well."""
+    text = F.concat_ws(":", F.lit(name), F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
 
 
 def normal(name: str, seed: int, *keys: str | Column) -> Column:
@@ -146,7 +148,7 @@ def generate(spark: SparkSession, n: int = N_SHIPMENTS, seed: int = SEED, raw_pa
     else:
         if raw_path is None:
             raise FileNotFoundError("no file of flows was found; name one or use the priors")
-        raw = spark.read.option("header", True).csv(raw_path).select("dms_orig", "dms_dest", "dms_mode")
+        raw = readers.flows_csv(spark, raw_path)
         weights, found = lane_weights(raw), {r["mode"]: r["share"] for r in mode_shares(raw).collect()}
         shares = tuple(found[m] for m in MODES)
     fuel, rates = fuel_surcharges(spark), carrier_rates(spark, seed, weights)
@@ -160,3 +162,31 @@ def generate(spark: SparkSession, n: int = N_SHIPMENTS, seed: int = SEED, raw_pa
         "n_shipments": n, "n_anomalies": int(bad), "anomaly_rate": round(bad / n, 4) if n else 0.0,
     }
     return {"fuel_surcharges": fuel, "carrier_rates": rates, "shipments": ships, "anomaly_ground_truth": truth, "generation_metadata": metadata}
+
+
+def write(made: dict, folder: str) -> list[str]:
+    """Three tables as CSV with a header line, the truth as parquet, the metadata as JSON; their paths."""
+    truth, metadata = made["anomaly_ground_truth"], made["generation_metadata"]
+    paths = sinks.export_csv({name: made[name] for name in ("fuel_surcharges", "carrier_rates", "shipments")}, folder)
+    truth.write.mode("overwrite").parquet(f"{folder}/anomaly_ground_truth.parquet")
+    sinks.write_json(truth.sparkSession, metadata, f"{folder}/generation_metadata.json")
+    return [*paths, f"{folder}/anomaly_ground_truth.parquet", f"{folder}/generation_metadata.json"]
+
+
+def main(arguments: list[str] | None = None) -> list[str]:
+    """python -m cargolens.operators.generate --out FOLDER [--n N] [--raw FILE | --raw-folder FOLDER] [--use-priors] [--run-id ID]"""
+    parser = argparse.ArgumentParser(description=__doc__)
+    parser.add_argument("--out", required=True)
+    parser.add_argument("--n", type=int, default=N_SHIPMENTS)
+    parser.add_argument("--raw")
+    parser.add_argument("--raw-folder")
+    parser.add_argument("--use-priors", action="store_true")
+    parser.add_argument("--run-id")
+    given = parser.parse_args(arguments)
+    spark = SparkSession.builder.getOrCreate()
+    raw = readers.resolve_flows(spark, given.raw_folder, given.raw) if given.raw_folder and not given.use_priors else given.raw
+    return write(generate(spark, given.n, SEED, raw, given.use_priors, given.run_id), given.out)
+
+
+if __name__ == "__main__":
+    print("\n".join(main()))

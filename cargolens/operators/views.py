@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cargolens.functions.measures import cost_per_lb, least_or_null, month_start, origin_state, percentiles, ratio
 from cargolens.schemas import MIN_LANE, OVERRUN_CAP, RISK_WEIGHTS
 
+
 def _month():
     return month_start(F.col("ship_date")).alias("month")
 
@@ -56,6 +57,23 @@ def anomaly_rate_by_region(ships: DataFrame, flags: DataFrame) -> DataFrame:
     )
 
 
+def anomaly_rate_of(marked: DataFrame) -> DataFrame:
+    """The same of shipments with is_anomaly_flag, whose key is shipment_id."""
+    counts = marked.groupBy(origin_state().alias("origin_state"), "mode", _month()).agg(F.count("*").alias("total_shipments"), F.sum("is_anomaly_flag").alias("flagged_shipments"))
+    return counts.withColumn("anomaly_rate", ratio(F.col("flagged_shipments"), F.col("total_shipments")))
+
+
+def carrier_scorecard_of(marked: DataFrame) -> DataFrame:
+    """``carrier_scorecard`` of shipments with z_flag and iqr_flag: a shipment with both counts as two rows."""
+    rows = F.greatest(F.col("z_flag") + F.col("iqr_flag"), F.lit(1))
+    mean = lambda c: F.sum(c * rows) / F.nullif(F.sum(F.when(c.isNotNull(), rows)).cast("double"), F.lit(0.0))
+    n, cost = F.sum(rows), F.col("total_cost")
+    return marked.groupBy("carrier_id", "mode").agg(
+        n.alias("total_shipments"), ratio(F.sum(F.col("on_time_flag") * rows), n).alias("on_time_rate"), mean(cost).alias("avg_cost"), mean(cost_per_lb()).alias("avg_cost_per_lb"),
+        ratio(F.sum("is_anomaly_flag"), n).alias("anomaly_rate"), F.sum(cost * rows).alias("total_spend"),
+    )
+
+
 def carrier_scorecard(ships: DataFrame, flags: DataFrame) -> DataFrame:
     joined = ships.join(flags.select("shipment_id", F.col("shipment_id").alias("flagged_id")), "shipment_id", "left")
     n = F.count("*")
@@ -82,6 +100,20 @@ def executive_summary(ships: DataFrame, flags: DataFrame) -> DataFrame:
     )
 
 
+def executive_summary_of(marked: DataFrame) -> DataFrame:
+    """``executive_summary`` of shipments with is_anomaly_flag, whose key is shipment_id."""
+    n, flagged = F.count("*"), F.coalesce(F.sum("is_anomaly_flag"), F.lit(0))
+    return marked.agg(
+        n.alias("total_shipments"), F.sum("total_cost").alias("total_freight_spend"), F.avg("total_cost").alias("avg_cost_per_shipment"), ratio(F.sum("on_time_flag"), n).alias("overall_on_time_rate"),
+        flagged.alias("total_anomalies_flagged"), ratio(flagged, n).alias("overall_anomaly_rate"), F.min("ship_date").alias("data_start_date"), F.max("ship_date").alias("data_end_date"),
+    )
+
+
+def lane_risk_of(marked: DataFrame, min_lane: int = MIN_LANE) -> DataFrame:
+    """``lane_risk`` of shipments with is_anomaly_flag."""
+    return _risk(marked, min_lane).orderBy(F.desc_nulls_last("risk_score"), "lane_id")
+
+
 def _risk(marked: DataFrame, min_lane: int) -> DataFrame:
     flag, late = F.col("is_anomaly_flag"), F.when(F.col("on_time_flag") == 0, 1).otherwise(0)
     lanes = (

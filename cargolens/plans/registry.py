@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cargolens.functions.measures import kept, release
 from cargolens.operators import adhoc, datasets, detect, evaluate, generate, quality, views
 from cargolens.plans import oracle
 from cargolens.sources import adapter, sinks
@@ -18,41 +19,65 @@ SUMS = ("total_spend", "total_freight_spend")
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles to six places, great sums to two: sums in another order differ in the last bits."""
-    return df.select(*[F.round(F.col(c), 2 if c in SUMS else places).alias(c) if t == "double" else F.col(c).cast("bigint").alias(c) if t in ("int", "decimal(20,0)") else F.col(c) for c, t in df.dtypes])
+    """Doubles to six places, great sums to two: sums in another order differ in the last bits.
 
+    At nine places first, where such bits are gone, so that a value that is half way between two of six places goes up
+    in any order of summation.
+    """
 
-def _ships(f: Callable[[DataFrame], DataFrame], lane: str = adapter.LANE) -> Query:
-    return lambda spark, sf_dir: rounded(f(adapter.shipments(spark, sf_dir, lane).persist()))
+    def shown(c: str) -> Column:
+        return F.round(F.col(c), 2) if c in SUMS else F.round(F.round(F.col(c), places + 3), places)
 
+    return df.select(*[shown(c).alias(c) if t == "double" else F.col(c).cast("bigint").alias(c) if t in ("int", "decimal(20,0)") else F.col(c) for c, t in df.dtypes])
 
-def _off_ties(df: DataFrame, column: str) -> DataFrame:
-    """Moves a quotient off the ties of rounding, which engines resolve differently."""
-    return df.withColumn(column, F.col(column) + 3e-8)
 
+#: What detectors, views and evaluation read of shipments.
+READ = ["shipment_id", "ship_date", "origin_city", "mode", "carrier_id", "weight_lbs", "total_cost", "on_time_flag", "lane_id", "is_anomaly"]
 
-def _flagged(f: Callable[[DataFrame, DataFrame], DataFrame], lane: str = adapter.LANE) -> Query:
-    """Shipments are used by detectors and view alike, so they are made once and kept, spilling to disk."""
+
+def _once(f: Callable[[DataFrame], DataFrame], lane: str = adapter.LANE) -> Query:
+    """For what reads shipments once; columns are pruned by the plan."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ships = adapter.shipments(spark, sf_dir, lane).persist()
-        return rounded(f(ships, detect.anomaly_flags(ships)))
+        release()
+        return rounded(f(adapter.shipments(spark, sf_dir, lane)))
 
     return run
 
 
+def _ships(f: Callable[[DataFrame], DataFrame], lane: str = adapter.LANE) -> Query:
+    """For what reads shipments several times: their columns are kept until the next query, spilling to disk."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        release()
+        return rounded(f(kept(adapter.shipments(spark, sf_dir, lane).select(READ))))
+
+    return run
+
+
+def _flagged(f: Callable[[DataFrame, DataFrame], DataFrame], lane: str = adapter.LANE) -> Query:
+    return _ships(lambda s: f(s, detect.anomaly_flags(s)), lane)
+
+
+def _marked(f: Callable[[DataFrame], DataFrame], lane: str = adapter.LANE) -> Query:
+    """Views of flags in place, without a join on shipment_id."""
+    return _ships(lambda s: f(detect.marked(s)), lane)
+
+
 def _labelled(f: Callable[[DataFrame], DataFrame]) -> Query:
     return _ships(lambda s: f(views.labelled(s, adapter.truth(s))))
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ships = adapter.shipments(spark, sf_dir).persist()
+    release()
+    ships = kept(adapter.shipments(spark, sf_dir))
     tables = {"SHIPMENTS": ships, "FUEL_SURCHARGES": adapter.fuel(spark), "CARRIER_RATES": adapter.rates(ships), "LANE_WEEK_TRENDS": detect.lane_week_trends(ships), "ANOMALY_FLAGS": detect.anomaly_flags(ships)}
     return quality.row_counts(tables, {"SHIPMENTS": 75_000, "FUEL_SURCHARGES": 100, "CARRIER_RATES": 1_000})
 
 
 def _exported_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ships = adapter.shipments(spark, sf_dir).persist()
+    release()
+    ships = kept(adapter.shipments(spark, sf_dir))
     flags = detect.anomaly_flags(ships)
     upper = flags.select(F.col("flag_type").alias("FLAG_TYPE"), F.col("shipment_id").alias("SHIPMENT_ID"))
     return rounded(evaluate.metrics_from_export(upper.toDF(*[c.lower() for c in upper.columns]), adapter.truth(ships)))
@@ -66,7 +91,7 @@ def _raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _generated(spark: SparkSession, _: str) -> DataFrame:
     made = generate.shipments(generate.carrier_rates(spark), generate.fuel_surcharges(spark))
-    return made[0].join(made[1].select("shipment_id", "is_anomaly"), "shipment_id")
+    return rounded(made[0].join(made[1].select("shipment_id", "is_anomaly"), "shipment_id"))
 
 
 def _provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,56 +113,58 @@ def queries() -> dict[str, Query]:
         "anomaly_flags": _flagged(lambda s, f: f),
         "flag_counts": _flagged(lambda s, f: detect.flag_counts(f)),
         "flagged_distinct": _flagged(lambda s, f: detect.flagged_distinct(f)),
-        "lane_week_trends": _ships(detect.lane_week_trends),
-        "trend_summary": _ships(lambda s: detect.trend_summary(detect.lane_week_trends(s))),
-        "vw_carrier_ontime": _ships(views.carrier_ontime),
-        "vw_cost_by_mode_region": _ships(lambda s: _off_ties(views.cost_by_mode_region(s), "avg_total_cost")),
-        "vw_anomaly_rate_by_region": _flagged(views.anomaly_rate_by_region),
-        "vw_carrier_scorecard": _flagged(views.carrier_scorecard),
-        "vw_executive_summary": _flagged(views.executive_summary),
-        "vw_lane_risk": _flagged(views.lane_risk),
+        "lane_week_trends": _once(detect.lane_week_trends),
+        "trend_summary": _once(lambda s: detect.trend_summary(detect.lane_week_trends(s))),
+        "vw_carrier_ontime": _once(views.carrier_ontime),
+        "vw_cost_by_mode_region": _ships(views.cost_by_mode_region),
+        "vw_anomaly_rate_by_region": _marked(views.anomaly_rate_of),
+        "vw_carrier_scorecard": _marked(views.carrier_scorecard_of),
+        "vw_executive_summary": _marked(views.executive_summary_of),
+        "vw_lane_risk": _marked(views.lane_risk_of),
         "vw_anomaly_rate_by_region_export": _labelled(views.anomaly_rate_export),
         "vw_carrier_scorecard_export": _labelled(views.carrier_scorecard_export),
         "vw_executive_summary_export": _ships(lambda s: views.executive_summary(s, adapter.truth(s).where("is_anomaly = 1"))),
         "vw_lane_risk_export": _labelled(views.lane_risk_export),
-        "top_expensive_lanes": _ships(adhoc.top_expensive_lanes),
+        "top_expensive_lanes": _once(adhoc.top_expensive_lanes),
         "top_carrier_anomaly": _flagged(adhoc.top_carrier_anomaly),
-        "monthly_cost_trend": _ships(adhoc.monthly_cost_trend),
+        "monthly_cost_trend": _once(adhoc.monthly_cost_trend),
         "fuel_vs_cost": fuel_costs,
         "flag_detail": _flagged(lambda s, f: adhoc.flag_detail(f, s)),
         "eval_zscore_flags": _ships(evaluate.local_zscore_flags),
         "eval_iqr_flags": _ships(evaluate.local_iqr_flags),
         "group_coverage": _ships(evaluate.group_coverage),
         "eval_metrics": _ships(lambda s: evaluate.eval_metrics(s, adapter.truth(s))),
+        "eval_metrics_text": _ships(lambda s: evaluate.metrics_as_text(evaluate.eval_metrics(s, adapter.truth(s)))),
         "eval_from_export": _exported_flags,
         "validate_counts": _counts,
-        "validate_nulls": _ships(lambda s: quality.null_counts(s, ("shipment_id", "ship_date", "mode", "carrier_id", "total_cost"))),
+        "validate_nulls": _once(quality.null_counts),
         "validate_flag_rate": _flagged(quality.flag_rate),
-        "validate_ontime": _ships(quality.ontime_by_mode),
-        "rates_duplicate_keys": _ships(lambda s: quality.duplicate_keys(adapter.rates(s), ["carrier_id", "mode", "lane_id"])),
-        "join_coverage": _ships(lambda s: quality.join_coverage(s, adapter.rates(s))),
-        "base_cost_check": _ships(quality.base_cost_error),
+        "validate_ontime": _once(quality.ontime_by_mode),
+        "rates_duplicate_keys": _once(lambda s: quality.duplicate_keys(adapter.rates(s), ["carrier_id", "mode", "lane_id"])),
+        "join_coverage": _once(lambda s: quality.join_coverage(s, adapter.rates(s))),
+        "base_cost_check": _once(quality.base_cost_error),
         "dash_kpis": _ships(lambda s: datasets.kpis(datasets.flagged(s))),
-        "dash_flagged": _ships(lambda s: _off_ties(datasets.flagged(s).select("shipment_id", "cpl", "flagged"), "cpl")),
-        "dash_lane_week_trends": _ships(lambda s: _off_ties(_off_ties(datasets.lane_week_trends(s), "avg_cpl"), "rolling_4wk")),
+        "dash_flagged": _ships(lambda s: datasets.flagged(s).select("shipment_id", "cpl", "flagged")),
+        "dash_lane_week_trends": _once(datasets.lane_week_trends),
         "dash_anomalous_weeks": _week_flags,
         "dash_cpl_distribution": _ships(lambda s: datasets.cpl_distribution(datasets.flagged(s))),
         "dash_weekly_cpl": _ships(datasets.weekly_cpl),
         "dash_top_lanes": _ships(lambda s: datasets.top_lanes(datasets.flagged(s)).withColumn("total_cost", F.round("total_cost", 2))),
-        "dash_carrier_scorecard": _ships(datasets.carrier_scatter),
+        "dash_carrier_scorecard": _once(datasets.carrier_scatter),
+        "chart_lane_risk": _ships(lambda s: datasets.lane_panel(views.lane_risk_export(views.labelled(s, adapter.truth(s))))),
         "flag_breakdown": _ships(datasets.flag_breakdown),
         "run_provenance": _provenance,
-        "carrier_rates": _ships(adapter.rates),
+        "carrier_rates": _once(adapter.rates),
         "fuel_surcharges": lambda spark, _: rounded(generate.fuel_surcharges(spark)),
         "faf_lane_weights": lambda spark, sf_dir: generate.lane_weights(_raw_flows(spark, sf_dir)),
         "faf_mode_share": lambda spark, sf_dir: rounded(generate.mode_shares(_raw_flows(spark, sf_dir).where("dms_mode <> '0'"))),
-        "gen_rates": lambda spark, _: generate.carrier_rates(spark),
+        "gen_rates": lambda spark, _: rounded(generate.carrier_rates(spark)),
         "gen_shipments": _generated,
         "flag_zscore_nation": _ships(detect.zscore_flags, nation),
         "flag_iqr_nation": _ships(detect.iqr_flags, nation),
-        "lane_week_trends_nation": _ships(detect.lane_week_trends, nation),
+        "lane_week_trends_nation": _once(lambda s: detect.lane_week_trends(s, min_weekly=2), nation),
         "vw_lane_risk_nation": _flagged(views.lane_risk, nation),
-        "top_expensive_lanes_nation": _ships(adhoc.top_expensive_lanes, nation),
+        "top_expensive_lanes_nation": _once(adhoc.top_expensive_lanes, nation),
     }
 
 

@@ -18,11 +18,16 @@ SHIPMENTS = _table(
 )
 CARRIER_RATES = _table(("carrier_id", S, 1), ("mode", S, 1), ("lane_id", S, 1), ("base_rate_per_cwt", D, 1), ("effective_date", DT, 1))
 FUEL_SURCHARGES = _table(("week_start", DT, 1), ("fuel_price_per_gallon", D, 1), ("surcharge_pct", D, 1))
-ANOMALY_FLAGS = _table(("flag_id", S, 1), ("shipment_id", S, 1), ("flag_type", S, 1), ("lane_id", S), ("mode", S), ("region", S), ("cost_value", D), ("z_score", D), ("flag_date", DT))
+ANOMALY_FLAGS = _table(("flag_id", S, 1), ("shipment_id", S, 1), ("flag_type", S, 1), ("lane_id", S), ("mode", S), ("region", S), ("cost_value", D), ("z_score", D), ("flag_date", DT), ("created_at", TS))
 LANE_WEEK_TRENDS = _table(
     ("week_start", DT, 1), ("lane_id", S, 1), ("mode", S, 1), ("shipment_count", L), ("avg_cost_per_lb", D), ("rolling_4wk_avg", D), ("pct_deviation", D), ("is_anomalous", I)
 )
 GENERATION_RUNS = _table(("run_id", S, 1), ("generated_at", TS, 1), ("seed_source", S, 1), ("faf5_file", S), ("n_shipments", L), ("n_anomalies", L), ("anomaly_rate", D))
+#: Tables by name; shipments lie in a folder for each mode.
+TABLES = {
+    "generation_runs": GENERATION_RUNS, "shipments": SHIPMENTS, "carrier_rates": CARRIER_RATES, "fuel_surcharges": FUEL_SURCHARGES,
+    "anomaly_flags": ANOMALY_FLAGS, "lane_week_trends": LANE_WEEK_TRENDS,
+}
 GROUND_TRUTH = _table(("shipment_id", S), ("is_anomaly", I), ("run_id", S))
 FLOWS = _table(("dms_orig", S), ("dms_dest", S), ("dms_mode", S))
 

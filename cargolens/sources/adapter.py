@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargolens.functions.measures import sized
-from cargolens.operators.generate import fuel_price
 
 LANE, NATION_LANE = "lane_id", "nation_lane"
 
@@ -46,6 +45,7 @@ def shipments(spark: SparkSession, sf_dir: str, lane: str = LANE) -> DataFrame:
         (F.col("l_extendedprice") * (1 + F.col("l_tax")) * F.when(anomaly == 1, 2.5 + 2.5 * (F.col("l_partkey") % 100) / 100).otherwise(1.0)).alias("total_cost"),
         F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("on_time_flag"),
         lane_id.alias("lane_id"),
+        F.lit("run-1").alias("run_id"),
         anomaly.alias("is_anomaly"),
     )
 
@@ -56,6 +56,8 @@ def truth(ships: DataFrame) -> DataFrame:
 
 def fuel(spark: SparkSession) -> DataFrame:
     """The price formula on the Mondays of the test data, by week number modulo 130."""
+    from cargolens.operators.generate import fuel_price  # which imports this package
+
     weeks = spark.sql("select explode(sequence(date'1995-01-02', date'2001-10-29', interval 7 days)) as week_start")
     price = fuel_price(F.expr("cast(datediff(week_start, date'1995-01-02') div 7 as int)") % 130)
     return weeks.select("week_start", F.round(price, 4).alias("fuel_price_per_gallon"), F.round((price - 2.5) / 2.5 * 0.30, 4).alias("surcharge_pct"))

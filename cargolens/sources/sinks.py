@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
-from cargolens.schemas import GENERATION_RUNS
+from cargolens.schemas import GENERATION_RUNS, TABLES
 
 
 def run_statements(spark: SparkSession, script: str) -> int:
@@ -24,6 +24,27 @@ def register_views(frames: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
+def create_tables(spark: SparkSession, schema: str, location: str | None = None) -> None:
+    """Makes the schema if it is missing, uses it and puts the six tables in it anew, empty."""
+    place = f" LOCATION '{location}'" if location else ""
+    run_statements(spark, f"CREATE SCHEMA IF NOT EXISTS {schema}{place}; USE {schema}")
+    for name, columns in TABLES.items():
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}" for f in columns)
+        run_statements(spark, f"DROP TABLE IF EXISTS {name}; CREATE TABLE {name} ({fields}) USING parquet{' PARTITIONED BY (mode)' if name == 'shipments' else ''}")
+
+
+def store(df: DataFrame, name: str, append: bool = False) -> None:
+    """Rows of ``df`` as the table's, or added to them. created_at, where the table has it and ``df`` has not, is the time of writing."""
+    spark = df.sparkSession
+    table = spark.table(name)
+    if "created_at" in table.columns and "created_at" not in df.columns:
+        df = df.withColumn("created_at", F.current_timestamp())
+    df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema])
+    if name == "shipments":
+        df = df.repartitionByRange("mode", "ship_date", "lane_id").sortWithinPartitions("ship_date", "lane_id")
+    df.write.insertInto(name, overwrite=not append)
+
+
 def save_shipments(ships: DataFrame, path: str) -> None:
     """One folder a mode; within files in the order of date and lane, so that scans skip row groups."""
     ships.repartitionByRange("mode", "ship_date", "lane_id").sortWithinPartitions("ship_date", "lane_id").write.mode("overwrite").partitionBy("mode").parquet(path)

@@ -41,10 +41,11 @@ def test_percentiles_are_exact(spark):
 
     rng = np.random.default_rng(1)
     rows = [(k, float(v)) for k, n in (("a", 1), ("b", 2), ("c", 5001), ("d", 9000)) for v in (rng.normal(size=n) if k != "d" else rng.integers(0, 5, n))] + [("e", None)]
-    got = {r.k: (r.q1, r.m) for r in percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"q1": 0.25, "m": 0.5}, 1000).collect()}
-    for k in "abcd":
-        assert got[k] == pytest.approx(tuple(np.quantile([v for g, v in rows if g == k], [0.25, 0.5])))
-    assert got["e"] == (None, None)
+    for small in (0, 100_000):  # by sketch and bracket, and as they are
+        got = {r.k: (r.q1, r.m) for r in percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"q1": 0.25, "m": 0.5}, 1000, small).collect()}
+        for k in "abcd":
+            assert got[k] == pytest.approx(tuple(np.quantile([v for g, v in rows if g == k], [0.25, 0.5])))
+        assert got["e"] == (None, None)
 
 
 def test_lane_without_flags_has_no_score_and_goes_last(make, spark):
@@ -138,11 +139,64 @@ def test_registered_generator_makes_the_default_number(spark):
 
 
 def test_checks(make):
-    assert (quality.status("NULL x", 1), quality.status("t", 5, 5), quality.status("t", 0)) == ("WARN", "OK", "WARN")
+    counted = quality.row_counts({"SHIPMENTS": make([ship(0, 1)]), "X": make([]), "Y": make([ship(0, 1)])}, {"SHIPMENTS": 2})
+    assert [(r.table_name, r.expected, r.status) for r in counted.collect()] == [("SHIPMENTS", 2, "WARN"), ("X", 1, "WARN"), ("Y", 1, "OK")]
     df = make([ship(0, 1), (None, *ship(1, 1)[1:])])
     assert {r.column_name: r.status for r in quality.null_counts(df).collect()}["shipment_id"] == "WARN"
 
 
+def test_marks_are_the_flags(make):
+    rows = [ship(i, 10 + i % 7, lane=f"L{i % 3}", weight=0.0 if i % 50 == 0 else 1.0) for i in range(300)] + [ship(300 + i, 500 + 90 * i, lane=f"L{i % 2}") for i in range(5)] + [ship(400, 9, lane="few")]
+    df = make(rows)
+    flags, marked = detect.anomaly_flags(df), detect.marked(df)
+    for kind, column in (("ZSCORE", "z_flag"), ("IQR", "iqr_flag")):
+        ids = sorted(r.shipment_id for r in flags.where(F.col("flag_type") == kind).collect())
+        assert ids and sorted(r.shipment_id for r in marked.where(f"{column} = 1").collect()) == ids
+    assert marked.count() == len(rows) and marked.columns == [*df.columns, "z_flag", "iqr_flag", "is_anomaly_flag"]
+    same = lambda a, b: [tuple(pytest.approx(x) if isinstance(x, float) else x for x in r) for r in sorted(a.collect(), key=str)] == [tuple(r) for r in sorted(b.collect(), key=str)]
+    assert same(views.carrier_scorecard(df, flags), views.carrier_scorecard_of(marked)) and same(views.anomaly_rate_by_region(df, flags), views.anomaly_rate_of(marked))
+    assert same(views.executive_summary(df, flags), views.executive_summary_of(marked)) and same(views.lane_risk(df, flags), views.lane_risk_of(marked))
+
+
+def test_local_flags_against_all_shipments(make, spark):
+    """No peer group has five shipments: statistics are those of all."""
+    df = make([ship(i, 10 + i % 2, lane=f"L{i}", carrier=f"C{i}", mode=f"M{i}") for i in range(20)] + [ship(20, 900, lane="x", carrier="y", mode="z")])
+    assert evaluate.choose_grouping(df) == [] and [r.shipment_id for r in evaluate.local_zscore_flags(df).collect()] == ["S20"]
+    assert [r.shipment_id for r in evaluate.local_iqr_flags(df).collect()] == ["S20"]
+    truth = spark.createDataFrame([("S20", 1), ("S1", 0)], "shipment_id string, is_anomaly int")
+    text = evaluate.metrics_as_text(evaluate.eval_metrics(df, truth)).collect()
+    assert [tuple(r) for r in text] == [(m, "1.000", "1.000", "1.000", "0.000", "1") for m in ("IQR", "ZSCORE", "ALL (distinct)")]
+    many = spark.createDataFrame([(f"T{i}", "S20") for i in range(130)], "flag_type string, shipment_id string")
+    assert evaluate.metrics_from_export(many, truth).count() == 131
+
+
+def test_tables_and_generated_files(spark, tmp_path):
+    made = generate.generate(spark, 50, use_priors=True, run_id="r")
+    paths = generate.write(made, str(tmp_path / "out"))
+    assert [p.rsplit("/")[-1] for p in paths] == ["fuel_surcharges.csv", "carrier_rates.csv", "shipments.csv", "anomaly_ground_truth.parquet", "generation_metadata.json"]
+    ships = readers.shipments_csv(spark, paths[2])
+    assert ships.count() == 50 == readers.truth_parquet(spark, paths[3]).count() and readers.json_object(spark, f"{paths[4]}/*.txt")["run_id"] == "r"
+    sinks.create_tables(spark, "freight", str(tmp_path / "db"))
+    try:
+        sinks.store(ships, "shipments")
+        sinks.store(ships, "shipments")
+        flags = detect.anomaly_flags(make_flagged(ships))
+        sinks.store(flags, "anomaly_flags")
+        for _ in range(2):
+            sinks.store(sinks.generation_run(spark, made["generation_metadata"]), "generation_runs", append=True)
+        sinks.store(detect.lane_week_trends(ships, 1), "lane_week_trends")
+        assert spark.table("shipments").count() == 50 and spark.table("generation_runs").count() == 2 and spark.table("lane_week_trends").count() > 0
+        stored = spark.table("anomaly_flags")
+        assert stored.count() == flags.count() > 0 and stored.where("created_at is null").count() == 0
+    finally:
+        spark.sql("DROP SCHEMA freight CASCADE")
+        spark.sql("USE default")
+
+
+def make_flagged(ships):
+    return ships.withColumn("lane_id", F.lit("L")).withColumn("mode", F.lit("LTL"))
+
+
 def test_stream_of_shipments(spark, tmp_path, make):
     history = make([ship(i, 10 + i % 3) for i in range(30)])
     make([ship(0, 10), ship(1, 500)]).write.parquet(str(tmp_path / "in"))
