@@ -9,7 +9,8 @@ suffixes wins.
 
 Scale: urls are dealt to sweeps by a row number, so that a host with a third of all rows is spread evenly; each
 sweep gets its own copy of the rules' borders through the shuffle and merges it with its urls in sorted, spillable
-order (no broadcast, no task that holds a host). Only key columns are shuffled.
+order (no broadcast, no task that holds a host). A url's row travels with the first of its keys only, so callers with
+wide tables select what they need.
 """
 
 from __future__ import annotations
