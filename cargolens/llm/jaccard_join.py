@@ -13,13 +13,14 @@ only if one is the other with one element more, so one-deletion keys of 5 to 8 e
 less, never each other. A whole set is unique, so a deletion key that many texts share costs one link a text. Larger
 sets (and 8 elements with 9 and 10) get no neighbourhood: a segment costs one key, a neighbourhood one key an element.
 
-Scale: equal sets are one class from the start. The first keys are the largest shuffle, about one for two words;
-they are sorted by key and never gathered, so that a segment of a third of all texts is read in a spillable stream. A
-group of at most ``GROUP`` texts is paired. A larger one gives a star, its members with its first one, then a second
-star between those that the links found so far leave apart. What is left, groups with members that are still apart, is
-joined by ``_leftover``: elements of one member only are counted and taken off, what remains equal is one class, and
-only different classes are compared. Components are found by alternating large-star and small-star steps on tables in
-the shared folder.
+Scale: equal sets are one class from the start. The keys, about one for two words, are the largest shuffles: they are
+counted with partial counts in each task, then joined with the counts of those that several sets have. Both sides of
+that join, and of the joins with centres of stars, are tables, so that adaptive execution can split a segment of a
+third of all texts over tasks; no key is gathered. A group of at most ``GROUP`` texts is paired. A larger one gives a
+star, its members with its first one, then a second star between those that the links found so far leave apart. What
+is left, groups with members that are still apart, is joined by ``_leftover``: elements of one member only are counted
+and taken off, what remains equal is one class, and only different classes are compared. Components are found by
+alternating large-star and small-star steps on tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -191,13 +192,15 @@ def _segmented(docs: DataFrame) -> DataFrame:
 
 
 def _probes(docs: DataFrame) -> DataFrame:
-    """(id, key, df): the segments that sets do not leave out, as far as several sets have them; df is their cost."""
-    keys = _segmented(docs).select("id", "tag", F.explode("keys").alias("key")).repartition("key")
-    sharing = Window.partitionBy("key")
-    shared = keys.select("id", "tag", "key", F.count("*").over(sharing).alias("df"), F.min("id").over(sharing).alias("low"), F.max("id").over(sharing).alias("high")).where("low <> high")
-    # equal sets of several tasks repeat their keys, which ranks do not count
-    rank = F.dense_rank().over(Window.partitionBy("id", "tag").orderBy(F.desc("df"), F.desc("key")))
-    return shared.select("id", "tag", "key", "df").withColumn("rank", rank).where("rank > tag div 64").select("id", "tag", "key", "df").distinct().select("id", "key", "df")
+    """(id, key, df), a table: the segments that sets do not leave out, as far as several sets have them; df is their cost."""
+    # equal sets of several tasks become one before their keys are counted
+    parts = written(_segmented(docs).dropDuplicates(["id", "tag"]))
+    keys = parts.select("id", "tag", F.explode("keys").alias("key"))
+    cost = written(keys.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
+    rank = F.row_number().over(Window.partitionBy("id", "tag").orderBy(F.desc("df"), F.desc("key")))
+    probes = written(keys.join(cost, "key").withColumn("rank", rank).where("rank > tag div 64").select("id", "key", "df"))
+    dropped(parts, cost)
+    return probes
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -384,11 +387,11 @@ def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = written(_identified(base))
     classes = rows.where("n > 0").groupBy("id").agg(F.min("doc").alias("least"), F.min(F.struct("doc", "digest")).alias("at"))
     classes = written(classes.select("id", "least", "at.doc", "at.digest"))
-    probes = written(_probes(base))
+    probes = _probes(base)
     groups = probes.where(F.col("df") <= GROUP).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("g")).where("size(g) > 1")
     pairs = groups.select(F.explode(F.expr("flatten(transform(g, (x, i) -> transform(slice(g, i + 2, size(g)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
     large = probes.where(F.col("df") > GROUP).select("key", "id")
-    centres = large.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
+    centres = written(large.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a"))
     stars = large.join(centres, "key").where("id <> a").select("a", F.col("id").alias("b"))
     small = lambda column: rows.select("id", F.explode(column).alias("key")).distinct()
     one_more = small("less").join(small("whole").withColumnRenamed("id", "other"), "key").where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
@@ -397,21 +400,23 @@ def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     sets = written(_sets_of(base, classes.join(wanted, "id", "left_semi")))
     links = _Links(sets)
     links.verify(pairs)
-    dropped(pairs)
+    dropped(pairs, centres)
 
     def mixed() -> DataFrame:
         """key, id, root, first: members of large groups that are still apart, and one root of each group."""
         placed = links.rooted(large)
-        several = placed.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last")
-        return written(placed.join(several, "key"))
+        several = written(placed.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last"))
+        out = written(placed.join(several, "key"))
+        dropped(several)
+        return out
 
     left = mixed()
     for _ in range(STARS - 1):
         if left.isEmpty():
             break
-        second = left.where("root = last").groupBy("key").agg(F.min("id").alias("c"))
+        second = written(left.where("root = last").groupBy("key").agg(F.min("id").alias("c")))
         links.verify(left.join(second, "key").where("root <> last").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct())
-        dropped(left)
+        dropped(left, second)
         left = mixed()
     if not left.isEmpty():
         links.merge(_leftover(left.select("key", "id"), sets))
