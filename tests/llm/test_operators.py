@@ -4,6 +4,7 @@ import itertools
 import random
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -371,6 +372,26 @@ def test_jaccard_join_of_small_sets(spark, monkeypatch):
     assert got == brute_components(made) and max(rows) <= 2 * len(made)
 
 
+def test_jaccard_costs_count_different_sets(spark):
+    """Equal sets of several tasks count once, and a set gives its cheapest shared segments."""
+    rng = random.Random(21)
+    common = rng.choices(ALPHABET, k=40)
+    made = [" ".join(common + [f"n{i}x{k}" for k in range(i % 7)]) for i in range(30)]
+    docs = docs_of(spark, made * 6).repartition(6).select("text")
+    got = sorted((r.id, r.key, r.df) for r in jaccard_join._probes(docs).collect())
+    given, cost = {}, Counter()
+    for x in {jaccard_join.identity(x): x for x in jaccard_join.shingle_sets(made)}.values():
+        for band, h in jaccard_join.bands(len(x)):
+            keys, spare = jaccard_join.keys_of(x, band, h)
+            given[jaccard_join.identity(x), band] = keys.view(np.int64).tolist(), spare
+            cost.update(keys.view(np.int64).tolist())
+    want = []
+    for (i, _), (keys, spare) in given.items():
+        shared = sorted(((cost[k], k) for k in keys if cost[k] > 1), reverse=True)
+        want += [(i, k, n) for n, k in shared[spare:]]
+    assert got == sorted(want) and want
+
+
 @pytest.mark.parametrize("words", [(12, 1), (15, 2), (30, 2)])
 def test_jaccard_join_of_a_template(spark, monkeypatch, words):
     """Many texts that differ in their last words only, linked or not: rows of every step are linear in the texts."""
