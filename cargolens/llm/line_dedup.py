@@ -23,8 +23,16 @@ from cargolens.llm.shared import dropped, written
 AT = ["doc", "row", "line_no"]  # the place of a line: doc_id, a hash of doc_id and text, number of the line
 
 
+#: White space but the space; line feeds end lines.
+SPACES = "\t\x0b\x0c\r"
+
+
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")
+    # translating looks up every character, so it is left to lines that need it
+    odd = F.contains(line, F.lit(SPACES[0]))
+    for c in SPACES[1:]:
+        odd = odd | F.contains(line, F.lit(c))
+    return F.array_remove(F.split(F.when(odd, F.translate(line, SPACES, " " * len(SPACES))).otherwise(line), " "), "")
 
 
 def _lines(text: Column) -> Column:
@@ -51,15 +59,17 @@ def occurrences(docs: DataFrame, min_words: int, short_repeats: bool) -> DataFra
     halves: the first and the last words, as many as ``_reach`` says for the number of words of the shorter line of a
     pair (n or n - 1); the two ends of the shorter line do not overlap, so that one edit leaves one of them equal.
     """
-    w, n = F.col("w"), F.col("n")
+    w, n, line = F.col("w"), F.col("n"), F.col("line")
+    # a filter on n would be moved below the words and make them twice
+    enough = F.btrim(line, F.lit(" " + SPACES)) != "" if short_repeats else F.size(_words(line)) >= min_words
     ends = lambda m: [F.xxhash64(F.lit(0), F.slice(w, F.lit(1), m)), F.xxhash64(F.lit(1), F.slice(w, n - m + 1, m))]
     mine, shorter = F.col("mine"), F.col("shorter")
     halves = F.when(mine == shorter, F.array(*ends(mine))).otherwise(F.array(*ends(mine), *ends(shorter)))
     return (
         docs.select("doc", "row", F.posexplode(_lines(F.col("text"))).alias("line_no", "line"))
-        .select(*AT, _words(F.col("line")).alias("w"))
+        .where(enough)
+        .select(*AT, _words(line).alias("w"))
         .withColumn("n", F.size("w"))
-        .where(n >= (1 if short_repeats else min_words))
         .withColumns({"mine": _reach(n), "shorter": _reach(n - 1)})
         .select(*AT, F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), (F.when(n >= min_words, halves).otherwise(F.array().cast("array<bigint>")) if short_repeats else halves).alias("halves"))
     )
