@@ -28,7 +28,7 @@ MARKS = "#$%&*!|"
 def prose_weight(text: Column) -> Column:
     """Quality weight in [0.05, 1]: one less five times the share of marks; 1 for null and empty texts."""
     n = F.length(text)
-    marks = n - F.length(F.translate(text, MARKS, ""))
+    marks = F.regexp_count(text, F.lit(f"[{MARKS}]"))
     return F.coalesce(F.when(n > 0, F.greatest(F.lit(0.05), 1 - F.lit(5.0) * marks / n)), F.lit(1.0))
 
 
