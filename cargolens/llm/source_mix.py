@@ -37,23 +37,41 @@ def uniform(row_key: Column, seed: int) -> Column:
     return (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), row_key)), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
 
 
+def _placed(sizes: DataFrame) -> DataFrame:
+    """Adds place, the number of a source in the order of names from 0: dealt by ranges of names, counted within a range."""
+    ranges = written(sizes.repartitionByRange("no_source", "source").withColumn("range", F.spark_partition_id()))
+    # as many rows as partitions
+    counts = ranges.groupBy("range").agg(F.count("*").alias("many"))
+    before = F.coalesce(F.sum("many").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("range").orderBy("no_source", "source"))
+    return ranges.join(counts.select("range", before.alias("before")), "range").withColumn("place", F.col("before") + within - 1).drop("range", "before")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
-    """Adds target to one row per source: no_source, source, source_size, n_docs (as many rows as sources)."""
-    by_name = Window.orderBy("no_source", "source")
-    by_cap = Window.orderBy("ratio", "place")
-    up_to, before, every = by_cap.rowsBetween(Window.unboundedPreceding, 0), by_cap.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    """Adds target to one row per source: no_source, source, source_size, n_docs (as many rows as sources).
+
+    The level is found by rounds: with the sources capped that lie below the level, the rest of the budget gives the next
+    one. It only rises, so the capped sources only become more, and the round that caps no further one has it. A round is an aggregate
+    of one row, so that sources may be as many as hosts.
+    """
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    filled = (
-        sizes.withColumn("place", F.row_number().over(by_name) - 1)
+    weighed = written(
+        _placed(sizes)
         .withColumn("weight", F.get(cycle, F.expr(f"place % {len(weights)}")))
         .withColumn("cap", F.lit(float(most)) * F.col("source_size"))
         .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("budget", F.lit(float(share)) * F.sum("source_size").over(every))
-        .withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-        .withColumn("capped", F.col("ratio") < F.col("level"))
-        .withColumn("level", F.min(F.when(~F.col("capped"), F.struct("ratio", "place", "level"))).over(every)["level"])
     )
-    return filled.withColumn("target", F.when(F.col("capped") | F.col("level").isNull(), F.col("cap")).otherwise(F.col("weight") * F.col("level"))).select("no_source", "source", "source_size", "n_docs", "mean_quality", "target")
+    budget = float(share) * (weighed.agg(F.sum("source_size")).first()[0] or 0)
+    level, n_capped = float("-inf"), -1
+    while True:
+        capped = F.col("ratio") < F.lit(level)
+        n, full, weight = weighed.agg(F.count_if(capped), F.coalesce(F.sum(F.when(capped, F.col("cap"))), F.lit(0.0)), F.sum(F.when(~capped, F.col("weight")))).first()
+        if n == n_capped or weight is None:
+            break
+        n_capped, level = n, (budget - full) / weight
+    # without a source that is not capped, or without any, every target is the cap
+    below = F.lit(True) if weight is None else F.col("ratio") < F.lit(level)
+    return weighed.withColumn("target", F.when(below, F.col("cap")).otherwise(F.col("weight") * F.lit(level))).select("no_source", "source", "source_size", "n_docs", "mean_quality", "target")
 
 
 def mix_sources(

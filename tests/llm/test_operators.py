@@ -59,6 +59,27 @@ def test_source_mix(spark):
     assert source_mix.mix_sources(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share, most", [(1.5, 2.0), (1.9, 2.0), (2.5, 2.0), (0.1, 2.0)])
+def test_targets_of_many_sources(spark, share, most):
+    rng = random.Random(3)
+    rows = [(i == 0, "" if i == 0 else f"s{i}", rng.choice([0, 5, 5, 40, 7000]), 1, 1.0) for i in range(300)]
+    sizes = spark.createDataFrame(rows, "no_source boolean, source string, source_size long, n_docs long, mean_quality double").repartition(5)
+    got = {(r.no_source, r.source): r.target for r in source_mix.targets(sizes, (3.0, 1.0, 2.0), share, most).collect()}
+    order = sorted(rows)
+    weight = {r[:2]: (3.0, 1.0, 2.0)[i % 3] for i, r in enumerate(order)}
+    left, cap, budget = set(weight), {r[:2]: most * r[2] for r in rows}, share * sum(r[2] for r in rows)
+    want = {}
+    while left:
+        level = (budget - sum(want.values())) / sum(weight[k] for k in left)
+        over = {k for k in left if cap[k] < weight[k] * level}
+        if not over:
+            break
+        want |= {k: cap[k] for k in over}
+        left -= over
+    want |= {k: weight[k] * level for k in left}
+    assert got == pytest.approx(want) and len(got) == 300
+
+
 def near_lines(a, b):
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b)) <= 1
