@@ -161,7 +161,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     return (
         keyed.join(gone, F.col("doc").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left")
         .withColumn("lines", _lines(F.col("text")))
-        .withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(numbers, lambda i: F.get("lines", i)), "\n")))
+        # by explode, as a caller's filter on text would else be moved below and split the text for each of its lines
+        .withColumn("text", F.explode(F.array(F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(numbers, lambda i: F.get("lines", i)), "\n")))))
         .select(
             *[F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`") for c in kept],
             F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),

@@ -125,3 +125,12 @@ def test_shared_tables(spark):
     shared.dropped(out)
     with pytest.raises(Exception, match="(?i)path|exist|file"):
         out.select(F.sum("id")).collect()
+
+
+def test_line_stage_of_a_long_text_is_linear(spark):
+    body = "\n".join(f"a{i * 7919 % 100003} b{i} c{i * 31} d{i * 17} e{i * 13} f{i}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, body + "\n" + body.split("\n")[3], "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    cut = corpus_pipeline.line_stage(spark, docs, "")
+    # made again for a filter, the text would be split for each of its lines
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("array_join") == 1
+    assert [tuple(r) for r in cut.collect()] == [(1, body, "en", "s", len(body))]
